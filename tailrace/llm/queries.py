@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tailrace.io import table
 from tailrace.llm import distinct, frequent, leaks, packing, quality
 
 
 def _p3_distinct_hosts(spark, d):
-    return distinct.host_counts(table(spark, d, "wire_event"))
+    return distinct.host_counts(table(spark, d, "wire_event")).withColumn("day", F.col("day").cast("string"))
 
 
 def _p3_returning_hosts(spark, d):
-    return distinct.returning_hosts(table(spark, d, "wire_event"))
+    return distinct.returning_hosts(table(spark, d, "wire_event")).withColumn("day", F.col("day").cast("string"))
 
 
 def _p6_found(spark, d):
@@ -68,10 +70,10 @@ _SPACE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{
 
 SQL = {
     "p3_distinct_hosts": f"""WITH w AS (SELECT CAST(received_at AS DATE) AS day, index_name, source, {_HOST} AS h FROM wire_event)
-SELECT day, index_name, source, CAST(grouping(day, index_name, source) AS INTEGER) AS level, CAST(count(DISTINCT h) AS BIGINT) AS n_hosts, CAST(0 AS BIGINT) AS max_error
-FROM w GROUP BY CUBE (day, index_name, source) HAVING count(h) > 0""",
+SELECT CAST(w.day AS VARCHAR) AS day, index_name, source, CAST(grouping(w.day, index_name, source) AS INTEGER) AS level, CAST(count(DISTINCT h) AS BIGINT) AS n_hosts, CAST(0 AS BIGINT) AS max_error
+FROM w GROUP BY CUBE (w.day, index_name, source) HAVING count(h) > 0""",
     "p3_returning_hosts": f"""WITH w AS (SELECT DISTINCT CAST(received_at AS DATE) AS day, {_HOST} AS h FROM wire_event WHERE {_HOST} IS NOT NULL)
-SELECT w.day, CAST(count(*) AS BIGINT) AS n_hosts, CAST(count(y.h) AS BIGINT) AS n_returning FROM w LEFT JOIN w y ON y.h = w.h AND y.day = w.day - 1 GROUP BY 1""",
+SELECT CAST(w.day AS VARCHAR) AS day, CAST(count(*) AS BIGINT) AS n_hosts, CAST(count(y.h) AS BIGINT) AS n_returning FROM w LEFT JOIN w y ON y.h = w.h AND y.day = w.day - 1 GROUP BY w.day""",
     "p6_found": f"WITH {_VALUES} SELECT field_name, item FROM k JOIN t USING (field_name) WHERE n >= 5 AND n * 100 >= total",
     "p6_counts": f"WITH {_VALUES} SELECT field_name, item, CAST(n AS BIGINT) AS n, CAST(total AS BIGINT) AS total FROM k JOIN t USING (field_name) WHERE n >= 5 AND n * 100 >= total",
     "p9_found": f"WITH {_GRAMS} SELECT doc_id, item_id FROM f",
