@@ -139,8 +139,7 @@ def _grammar() -> list[Rule]:
         _r("pair", "kT moment"),
         _r("pair", "kL rank"),
         _r("pair", "kC name"),
-        _r("pair", "kM Q", 1.0, text=1),
-        _r("pair", "kM W", 1.0, text=1),
+        _r("pair", "kM said"),
         _r("pair", "kO scalar", 0.1),
         _r("object", "{ members }"),
         _r("members", "member"),
@@ -148,7 +147,7 @@ def _grammar() -> list[Rule]:
         _r("member", "jT moment"),
         _r("member", "jL rank"),
         _r("member", "jC name"),
-        _r("member", "jM Q", 1.0, text=1),
+        _r("member", "jM said"),
         _r("member", "jO scalar", 0.1),
         _r("member", "jO object", 0.1),
         _r("member", "jO list", 0.1),
@@ -169,6 +168,7 @@ def _grammar() -> list[Rule]:
         _r("name", "LVL", 3.0, writer=0),
         _r("name", "qLVL", 3.0, writer=0),
     ]
+    rules += [_r("said", t, 1.0, text=0) for t in ("Q", "qLVL", "qISO", "qEPOCH", "W", "LVL")]
     rules += [_r("scalar", t) for t in ("W", "Q", "LVL", "qLVL", "qISO", "qEPOCH", "ISO", "EPOCH", "ZONE")]
     return [r for r in rules if r.right != ("sys",)]
 
@@ -187,6 +187,7 @@ class Parsed(NamedTuple):
 
 _parser: WeightedEarley | None = None
 _PROCESS_ID = re.compile(r"\[\d+\]$")
+_LEADER = re.compile(r"\A\s*(?:[-:]\s+)?")
 _LINE_NUMBER = re.compile(r":\d+$")
 
 
@@ -249,7 +250,9 @@ def parse_line(raw: str | None) -> Parsed | None:
     if time is None:
         return Parsed(None, "", "", None, left or raw, score)
     if text is None and node.saturated and GRAMMAR[rule].right[-1] == ANY:
-        text = raw[spans[-1][1] :].lstrip()
+        text = raw[spans[-1][1] :]
+    if text is not None:
+        text = _LEADER.sub("", text)
     if zone:
         time = f"{time} {zone}"
     if level is None and pri is not None:

@@ -57,7 +57,7 @@ def _p7_found(spark, d):
 
 
 def _p7_kept(spark, d):
-    return once.exactly_once(table(spark, d, "wire_event").select("delivery_id", "id", "host", "received_at")).select("delivery_id", "received_at")
+    return once.exactly_once(table(spark, d, "wire_event").select("delivery_id", "id", "host", "batch_id")).select("delivery_id", "batch_id")
 
 
 QUERIES: dict[str, Query] = {
@@ -100,6 +100,6 @@ UNION ALL SELECT DISTINCT 'notable', id FROM notable LEFT JOIN m ON m.feed = 'no
 WHERE id IS NOT NULL AND (mark IS NULL OR epoch_us(created_at) > mark OR epoch_us(updated_at) > mark)""",
     "p7_found": f"""WITH k AS (SELECT delivery_id, row_number() OVER (PARTITION BY id, {_HOST} ORDER BY delivery_id) AS r FROM wire_event WHERE id <> '')
 SELECT delivery_id FROM k WHERE r > 1""",
-    "p7_kept": f"""WITH k AS (SELECT delivery_id, received_at, CASE WHEN id <> '' THEN row_number() OVER (PARTITION BY id, {_HOST} ORDER BY delivery_id) ELSE 1 END AS r FROM wire_event)
-SELECT delivery_id, received_at FROM k WHERE r = 1""",
+    "p7_kept": f"""WITH k AS (SELECT delivery_id, batch_id, CASE WHEN id <> '' THEN row_number() OVER (PARTITION BY id, {_HOST} ORDER BY delivery_id) ELSE 1 END AS r FROM wire_event)
+SELECT delivery_id, batch_id FROM k WHERE r = 1""",
 }
