@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tailrace.functions.loglines import parse_line
-from tailrace.io import host_key
+from tailrace.io import host_key, saved
 
 #: Rows of one batch, host and source are ordered in blocks of so many positions.
 BLOCK = 100_000
@@ -91,6 +91,10 @@ def assemble(wire: DataFrame) -> DataFrame:
     it, so no task holds such a group as a whole.
     """
     segments = _segments(wire)
+    several = not wire.filter(F.col("batch_pos") >= BLOCK).limit(1).isEmpty()
+    if not several:  # read from the column's statistics alone where they tell
+        return segments.filter("entry is not null").select(F.col("entry").alias("first_delivery_id"), F.col("last.delivery_id").alias("last_delivery_id"), "lvl", "component", "bare")
+    segments = saved(segments, "segments")
     begun = segments.filter("entry is not null")
     keys = ["b", "h", "s"]
     # Only blocks after the first can go on with an earlier one.
