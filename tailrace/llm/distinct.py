@@ -60,8 +60,10 @@ def intersection(left: DataFrame, right: DataFrame, groups: list[str]) -> DataFr
 
 
 def counts(maps: DataFrame, groups: list[str], name: str = "n_distinct") -> DataFrame:
-    """(groups, name, max_error): bits of each group; the error bound is 0."""
-    return maps.groupBy(*groups).agg(F.sum(F.bit_count("bits")).cast("bigint").alias(name)).withColumn("max_error", F.lit(0).cast("bigint"))
+    """(groups, name, max_error): bits of each group; the error bound is 0.
+    Empty sets have no row."""
+    got = maps.groupBy(*groups).agg(F.sum(F.bit_count("bits")).cast("bigint").alias(name)).filter(F.col(name) > 0)
+    return got.withColumn("max_error", F.lit(0).cast("bigint"))
 
 
 def combinations_of(dims: list[str]) -> list[list[str]]:
