@@ -24,8 +24,8 @@ CHUNK = 50_000
 FAN_IN = 16
 #: Most words that the list of common words may have.
 MAX_COMMON = 100_000
-#: Words back to which endless repetition is looked for.
-LAGS = 8
+#: Words (with a letter or digit) back to which endless repetition is looked for.
+LAGS = 4
 #: A cut word is carried as text up to this length, beyond it only as a length.
 EDGE = 256
 
@@ -33,7 +33,7 @@ SHAPES = ("prose", "list", "table", "junk")
 
 # Additive counts of a line.
 COUNTS = (
-    "chars", "blanks", "words", "word_chars", "common", "letters", "vowels", "capitals", "digits", "symbols", "damaged", "pipes", "tabs", "semicolons", "commas",
+    "chars", "blanks", "words", "word_chars", "common", "letters", "vowels", "spare", "digits", "symbols", "damaged", "pipes", "tabs", "semicolons", "commas",
     "gaps", "tags", "cells_html", "percents", "hexes", "longs", "long_chars", "assigned", "stamps", "commands", "codes",
 )
 _AT = {n: k for k, n in enumerate(COUNTS)}
@@ -51,30 +51,61 @@ _SPAN = re.compile(r"`[^`]*`")
 _CORE = re.compile(r"[^\W_](?:.*[^\W_])?", re.S)
 _VOWELS = frozenset("aeiouyáàâäãéèêëíìîïóòôöõúùûüýAEIOUYÁÀÂÄÃÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÝ")
 _DAMAGE = re.compile("[ÃÂ][\u0080-\u00bf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]|â€|\ufffd|[\u0000-\u0008\u000e-\u001f\u007f]")
+_CONTROL = re.compile("[\u0000-\u0008\u000e-\u001f\u007f]")
 _END = ".!?…。！？"
 _CLOSERS = "\"'”’»)]*_`"
 
 
-def _word_counts(word: str, c: list, common: frozenset) -> None:
-    """Adds a whole word (a run without white space) to the counts."""
-    n = len(word)
-    c[2] += 1
-    c[3] += n
-    core = _CORE.search(word)
-    if core is not None:
-        w = core.group()
-        if w.lower() in common:
-            c[4] += 1
-        elif "'" in w and w.lower().split("'", 1)[0] in common:
-            c[4] += 1
-    if n > 30:
-        if not _RULE.match(word) and "<" not in word and word.count("|") + word.count(",") + word.count(";") < 2 and "://" not in word and word[0] != "/":
-            c[20] += 1
-            c[21] += n
-    elif n >= 2 and _HEX.match(word) and not word.isalpha():
-        c[19] += 1
-    elif n == 2 and _HEX.match(word) and word.islower():
-        c[19] += 1
+_ONE = (1 << 24) - 1
+
+
+class _Words(dict):
+    """What a word adds to the counts, packed into one integer: common, hexes, longs,
+    long_chars (24 bits each) and, at the top, whether it has a letter or digit.
+    Emptied when it has grown too large."""
+
+    def __init__(self, common: frozenset):
+        super().__init__()
+        self.common = common
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        n = len(word)
+        core = _CORE.search(word)
+        common = hexes = longs = 0
+        if core is not None:
+            w = core.group().lower()
+            common = int(w in self.common or "'" in w and w.split("'", 1)[0] in self.common)
+        if n > 30:
+            longs = int(not _RULE.match(word) and "<" not in word and word.count("|") + word.count(",") + word.count(";") < 2 and "://" not in word and word[0] != "/")
+        elif n >= 2 and _HEX.match(word) and (not word.isalpha() or n == 2 and word.islower()):
+            hexes = 1
+        packed = common | hexes << 24 | longs << 48 | longs * n << 72 | (core is not None) << 112
+        if n <= 64:
+            self[word] = packed
+        return packed
+
+
+_memos: dict[frozenset, _Words] = {}
+
+
+def _words_of(common: frozenset) -> _Words:
+    if common not in _memos:
+        _memos.clear()
+        _memos[common] = _Words(common)
+    return _memos[common]
+
+
+def _add_words(words: list[str], c: list, memo: _Words) -> None:
+    """Adds whole words (runs without white space) to the counts."""
+    c[2] += len(words)
+    c[3] += sum(map(len, words))
+    packed = sum(map(memo.__getitem__, words))
+    c[4] += packed & _ONE
+    c[19] += packed >> 24 & _ONE
+    c[20] += packed >> 48 & _ONE
+    c[21] += packed >> 72 & (1 << 40) - 1
 
 
 def _pattern_counts(text: str) -> tuple[int, ...]:
@@ -108,46 +139,56 @@ class Line:
         self.last = ""  # the last characters of the part
 
 
+_ASCII_LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))
+_ASCII_DIGITS = b"0123456789"
+_ASCII_BLANKS = bytes([9, 10, 11, 12, 13, 28, 29, 30, 31, 32])
+_ASCII_VOWELS = b"aeiouyAEIOUY"
+_BEYOND = re.compile(r"[^\x00-\x7f]")
+
+
 def _text_counts(text: str, c: list) -> None:
     """Adds what doesn't depend on words to the counts."""
     n = len(text)
+    data = text.encode("ascii", "ignore")
+    m = len(data)
+    letters = m - len(data.translate(None, _ASCII_LETTERS))
+    blanks = m - len(data.translate(None, _ASCII_BLANKS))
+    vowels = m - len(data.translate(None, _ASCII_VOWELS))
+    digits = 0
+    if letters + blanks < m:
+        digits = m - len(data.translate(None, _ASCII_DIGITS))
+    if m < n:
+        beyond = _BEYOND.findall(text)
+        letters += sum(map(str.isalpha, beyond))
+        blanks += sum(map(str.isspace, beyond))
+        digits += sum(map(str.isdigit, beyond))
+        vowels += sum(map(_VOWELS.__contains__, beyond))
+        c[10] += sum(map(len, _DAMAGE.findall(text)))
+    elif letters + blanks + digits < n and _CONTROL.search(text):
+        c[10] += len(_DAMAGE.findall(text))
     c[0] += n
-    if text.isascii() and text.replace(" ", "").isalpha():  # the common case, counted fast
-        blanks = text.count(" ")
-        c[1] += blanks
-        c[5] += n - blanks
-        c[6] += sum(map(text.count, "aeiouyAEIOUY"))
-        c[7] += sum(map(str.isupper, text))
-        if "  " in text:
-            c[15] += len(_GAP.findall(text))
-        return
-    blanks = sum(map(str.isspace, text))
-    letters = sum(map(str.isalpha, text))
-    digits = sum(map(str.isdigit, text))
     c[1] += blanks
     c[5] += letters
-    c[6] += sum(map(_VOWELS.__contains__, text))
-    c[7] += sum(map(str.isupper, text))
+    c[6] += vowels
     c[8] += digits
     c[9] += n - blanks - letters - digits
-    if not text.isascii():
-        c[10] += sum(len(m) for m in _DAMAGE.findall(text))
+    if "  " in text:
+        c[15] += len(_GAP.findall(text))
+    if letters + blanks + digits == n and "\t" not in text:
+        return
     c[11] += text.count("|")
     c[12] += text.count("\t")
     c[13] += text.count(";")
     c[14] += text.count(",")
-    if "  " in text:
-        c[15] += len(_GAP.findall(text))
     if "<" in text:
-        c[16] += sum(len(m) for m in _TAG.findall(text))
+        c[16] += sum(map(len, _TAG.findall(text)))
         c[17] += len(_CELL_TAG.findall(text))
     if "%" in text:
         c[18] += len(_PERCENT.findall(text))
     c[22] += text.count("=")
     if ":" in text:
         c[23] += len(_STAMP.findall(text))
-    if "`" in text:
-        c[24] += text.count("`")
+    c[24] += text.count("`")
     c[25] += text.count("{") + text.count("}")
 
 
@@ -170,8 +211,7 @@ def part(text: str, common: frozenset, first: bool, last: bool) -> Line:
         p.head, lo = words[0], 1
     if cut_tail:
         p.tail, hi = words[-1], hi - 1
-    for w in words[lo:hi]:
-        _word_counts(w, p.c, common)
+    _add_words(words[lo:hi] if hi - lo < len(words) else words, p.c, _words_of(common))
     return p
 
 
@@ -194,7 +234,7 @@ def join_parts(a: Line, b: Line, common: frozenset) -> Line:
         r.head, r.tail = a.head, b.tail
         middle = a.tail + b.head
         if middle:
-            _word_counts(middle, r.c, common)
+            _add_words([middle], r.c, _words_of(common))
     return r
 
 
@@ -202,11 +242,9 @@ def close(p: Line, common: frozenset) -> list:
     """Counts of a finished line."""
     if p.whole:
         if p.head:
-            _word_counts(p.head, p.c, common)
-    else:
-        for w in (p.head, p.tail):
-            if w:
-                _word_counts(w, p.c, common)
+            _add_words([p.head], p.c, _words_of(common))
+    elif p.head or p.tail:
+        _add_words([w for w in (p.head, p.tail) if w], p.c, _words_of(common))
     return p.c
 
 
@@ -315,7 +353,8 @@ def summarise(text: str, common: frozenset, starts: bool = True, ends: bool = Tr
     if words:
         lo = 1 if not starts and not text[0].isspace() else 0
         hi = len(words) - 1 if not ends and not text[-1].isspace() else len(words)
-        whole = words[lo:hi] if hi > lo else []
+        memo = _words_of(common)
+        whole = [w for w in words[lo:hi] if memo[w] >> 112] if hi > lo else []
         s.repeats = _repeats(whole)
         s.n_words = len(whole)
         s.first_words, s.last_words = [w[:EDGE] for w in whole[:LAGS]], [w[:EDGE] for w in whole[-LAGS:]]
@@ -332,7 +371,7 @@ def merge(a: State, b: State, common: frozenset) -> State:
     left, right = a.tail or a.head, b.head
     cut = (left.head if left.whole else left.tail) + (right.head if right.whole or right.head else "")
     inner_open = left.whole and a.tail is None or right.whole and b.tail is None
-    between = [cut[:EDGE]] if cut and not inner_open else []
+    between = [cut[:EDGE]] if cut and not inner_open and _CORE.search(cut) else []
     joined = join_parts(left, right, common)
     s.head = a.head if a.tail is not None else joined
     if b.tail is not None:
