@@ -23,25 +23,26 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(text), _SPLIT + "+"), lambda t: F.octet_length(t) >= 2)
 
 
-def has_token(text: Column, term: str) -> Column:
+def has_token(text: Column, term: str, folded: Column | None = None) -> Column:
     """Whether a token equals ``term`` (A-Z in any case); ``*`` stands for any part of
     a token, alone for every text.  A term that itself holds delimiters must be
-    found whole, between delimiters."""
+    found whole, between delimiters.  ``folded`` is the text in lower case, where
+    it is at hand."""
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in term)
     if set(low) == {"*"}:
         return F.lit(True)
     pieces = [re.escape(p) for p in low.split("*")]
     inside = "[^\\s" + re.escape(DELIMITERS) + "]*"
     pattern = f"(?:^|{_SPLIT}){inside.join(pieces)}(?:$|{_SPLIT})"
-    folded = ascii_lower(text)
+    folded = ascii_lower(text) if folded is None else folded
     longest = max(low.split("*"), key=len)
     # the plain search spares most rows the pattern
     return F.coalesce(folded.contains(longest) & folded.rlike(pattern), F.lit(False))
 
 
-def has_phrase(text: Column, phrase: str) -> Column:
+def has_phrase(text: Column, phrase: str, lowered: Column | None = None) -> Column:
     """Whether ``phrase`` occurs anywhere, in any case."""
-    return F.coalesce(F.lower(text).contains(phrase.lower()), F.lit(False))
+    return F.coalesce((F.lower(text) if lowered is None else lowered).contains(phrase.lower()), F.lit(False))
 
 
 def wildcard_like(pattern: str) -> str:

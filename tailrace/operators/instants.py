@@ -91,36 +91,34 @@ def stated_instant(seconds: Column, microseconds: Column) -> tuple[Column, Colum
     return micros_of_number(given) + part_us, F.coalesce(finer, F.lit(False))
 
 
-def normalise_wire(wire: DataFrame, assets: DataFrame, dictionary: TimeDictionary | None = None, only_repaired: bool = False) -> DataFrame:
-    """(rec_id, event_us, repaired) of wire rows; ``event_us`` null where no time is known."""
+def wire_rows(wire: DataFrame) -> DataFrame:
+    """(table_name, rec_id, raw, host, received_us, stated_us, finer) of wire rows:
+    the instant stated as a number, and whether it was in a finer unit."""
     stated, finer = stated_instant(F.col("event_time.seconds"), F.col("event_time.microseconds"))
-    rows = wire.select(
-        F.col("delivery_id").alias("rec_id"), "raw", "host", F.unix_micros(F.col("received_at").cast("timestamp")).alias("received_us"), stated.alias("stated_us"), finer.alias("finer")
-    )
-    return _normalise(rows, assets, dictionary, only_repaired)
+    received = F.unix_micros(F.col("received_at").cast("timestamp"))
+    return wire.select(F.lit("wire_event").alias("table_name"), F.col("delivery_id").alias("rec_id"), "raw", "host", received.alias("received_us"), stated.alias("stated_us"), finer.alias("finer"))
 
 
-def normalise_ingest(ingest: DataFrame, assets: DataFrame, dictionary: TimeDictionary | None = None, only_repaired: bool = False) -> DataFrame:
-    """(rec_id, event_us, repaired) of ingest rows; ``event_us`` null where no time is known."""
+def ingest_rows(ingest: DataFrame) -> DataFrame:
+    """As :func:`wire_rows`, of ingest rows."""
     n = F.when(F.col("timestamp_us") != 0, F.col("timestamp_us"))
     other_unit = F.coalesce((n < 10**14) | (n >= 10**17), F.lit(False))
-    rows = ingest.select(F.col("ingest_id").alias("rec_id"), "raw", "host", "received_us", micros_of_number(n).alias("stated_us"), other_unit.alias("finer"))
-    return _normalise(rows, assets, dictionary, only_repaired)
+    return ingest.select(F.lit("ingest_event").alias("table_name"), F.col("ingest_id").alias("rec_id"), "raw", "host", "received_us", micros_of_number(n).alias("stated_us"), other_unit.alias("finer"))
 
 
-def _normalise(rows: DataFrame, assets: DataFrame, dictionary: TimeDictionary | None, only_repaired: bool) -> DataFrame:
-    given = rows.filter(F.col("stated_us").isNotNull()).select("rec_id", F.col("stated_us").alias("event_us"), F.col("finer").alias("repaired"))
+def normalise(rows: DataFrame, assets: DataFrame, dictionary: TimeDictionary | None = None, only_repaired: bool = False) -> DataFrame:
+    """(table_name, rec_id, event_us, repaired): one instant for each of ``rows`` (as
+    :func:`wire_rows`), null where none is known.  ``repaired``: it was missing or
+    in another unit; ``only_repaired`` leaves the others out."""
+    given = rows.filter(F.col("stated_us").isNotNull()).select("table_name", "rec_id", F.col("stated_us").alias("event_us"), F.col("finer").alias("repaired"))
     if only_repaired:
         given = given.filter("repaired")
-    missing = normalise_written_times(rows.filter(F.col("stated_us").isNull()).select("rec_id", "raw", "host", "received_us"), assets, "raw", "host", "received_us", dictionary)
-    return given.unionByName(missing.select("rec_id", F.col("written_us").alias("event_us"), F.lit(True).alias("repaired")))
+    missing = rows.filter(F.col("stated_us").isNull()).select("table_name", "rec_id", "raw", "host", "received_us")
+    written = normalise_written_times(missing, assets, "raw", "host", "received_us", dictionary)
+    return given.unionByName(written.select("table_name", "rec_id", F.col("written_us").alias("event_us"), F.lit(True).alias("repaired")))
 
 
 def found(wire: DataFrame, ingest: DataFrame, assets: DataFrame) -> DataFrame:
     """Rows whose time was missing or in another unit, with the normalised instant."""
-    dictionary = TimeDictionary(wire.sparkSession, scratch(wire.sparkSession, "times"))
-    parts = [
-        normalise_wire(wire, assets, dictionary, True).select(F.lit("wire_event").alias("table_name"), "rec_id", "event_us"),
-        normalise_ingest(ingest, assets, dictionary, True).select(F.lit("ingest_event").alias("table_name"), "rec_id", "event_us"),
-    ]
-    return parts[0].unionByName(parts[1]).filter(F.col("event_us").isNotNull())
+    rows = wire_rows(wire).unionByName(ingest_rows(ingest))
+    return normalise(rows, assets, only_repaired=True).filter(F.col("event_us").isNotNull()).select("table_name", "rec_id", "event_us")
