@@ -117,66 +117,63 @@ def _lookup(values: dict[str, int]) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
 
-def _layout(text: Column, zone: Column, year: Column, name: str) -> tuple[Column, Column]:
-    """(matches, array of instants by layout ``name``): one instant, or for a
-    text without a year those of the year before, the year and the year after."""
-    pattern, parts = LAYOUTS[name]
-
-    def part(k: str) -> Column:
-        return F.regexp_extract(text, f"^{pattern}", parts[k])
-
-    def number(k: str) -> Column:
-        return F.expr("try_cast(null as int)") if k not in parts else part(k).try_cast("int")
-
-    fraction = F.rpad(F.substring(part("f"), 1, 6), 6, "0").try_cast("long")
-    fraction = F.coalesce(fraction, F.lit(0).cast("long"))
-    hit = F.regexp_extract(text, f"^({_ungrouped(pattern)})", 1) != ""
-    if name == "number":
-        whole = part("n").try_cast("long")
-        finer = F.rpad(F.substring(part("rest"), 1, 6), 6, "0").try_cast("long")
-        return hit, F.array(whole * 1_000_000 + F.when(part("rest") != "", finer).otherwise(fraction))
-    hour = number("h")
-    if "half" in parts:
-        half = F.upper(part("half"))
-        hour = F.when(half == "P", hour % 12 + 12).when(half == "A", hour % 12).otherwise(hour)
-    month = number("m")
-    if "mon" in parts:
-        month = F.try_element_at(_lookup({m: k + 1 for k, m in enumerate(MONTHS)}), part("mon"))
-    offset = F.lit(None).cast("long")
-    if "off" in parts:
-        off = part("off")
-        minutes = F.substring(off, 2, 2).try_cast("long") * 60 + F.substring(off, -2, 2).try_cast("long")
-        named = F.try_element_at(_lookup({z: int(h * 60) for z, h in ZONE_HOURS.items()}), part("abbr"))
-        offset = F.when(off == "Z", 0).when(off.startswith("-"), -minutes).when(off != "", minutes).otherwise(named).cast("long")
-
-    def instant(y: Column) -> Column:
-        clock = F.unix_micros(F.try_make_timestamp(y, month, number("d"), hour, number("mi"), number("s").cast("decimal(16,6)"), F.lit("UTC")))
-        wall = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(clock), zone))
-        return F.when(offset.isNotNull(), clock - offset * 60_000_000).otherwise(wall) + fraction
-
-    if "y" in parts:
-        return hit, F.array(instant(number("y")))
-    return hit, F.array(*[instant((year + k).cast("int")) for k in (-1, 0, 1)])
+#: Parts of a written time, in the order of its canonical form.
+PARTS = ("y", "m", "mon", "d", "h", "mi", "s", "f", "half", "off", "abbr", "n", "rest")
+_BAR = "|"
+
+
+def canonical(text: Column) -> Column:
+    """The parts of ``text`` by the first layout it fits, joined by bars in the order
+    of PARTS; null where none fits."""
+    forms = []
+    for pattern, groups in LAYOUTS.values():
+        template = _BAR.join(f"${groups[k]}" if k in groups else "" for k in PARTS)
+        if "n" in groups:
+            template = _BAR.join({"n": "$1", "f": "$2", "rest": "$3"}.get(k, "") for k in PARTS)
+        forms.append(F.when(text.rlike(f"^{pattern}"), F.regexp_replace(text, f"(?s)^{pattern}.*$", template)))
+    return F.coalesce(*forms)
 
 
 def written_instants(text: Column, zone: Column, year: Column) -> Column:
-    """Instants that ``text`` (see :func:`time_text`) may state, by the first layout it fits.
+    """Instants that ``text`` (see :func:`time_text`) may state, by the first layout it
+    fits: one, or for a text without a year those of the year before, the year
+    and the year after.
 
     ``zone`` is the wall clock where the text names no zone; a time it showed
     twice counts as the earlier instant.  ``year`` is that of the receipt and
     is only used for texts without one.  Null where no layout fits.
     """
-    tried = [_layout(text, zone, year, k) for k in LAYOUTS]
-    first_hit, first = tried[0]
-    chain = F.when(first_hit, first)
-    for hit, instants in tried[1:]:
-        chain = chain.when(hit, instants)
-    return chain
+
+    def instants(parts: Column) -> Column:
+        of = {k: parts[i] for i, k in enumerate(PARTS)}
+        number = lambda k: of[k].try_cast("int")
+        micros = lambda k: F.rpad(F.substring(of[k], 1, 6), 6, "0").try_cast("long")
+        fraction = F.coalesce(micros("f"), F.lit(0).cast("long"))
+        counted = of["n"].try_cast("long") * 1_000_000 + F.when(of["rest"] != "", micros("rest")).otherwise(fraction)
+        half = F.upper(of["half"])
+        hour = F.when(half == "P", number("h") % 12 + 12).when(half == "A", number("h") % 12).otherwise(number("h"))
+        month = F.coalesce(number("m"), F.try_element_at(_lookup({m: k + 1 for k, m in enumerate(MONTHS)}), of["mon"]))
+        minutes = F.substring(of["off"], 2, 2).try_cast("long") * 60 + F.substring(of["off"], -2, 2).try_cast("long")
+        named = F.try_element_at(_lookup({z: int(h * 60) for z, h in ZONE_HOURS.items()}), of["abbr"])
+        offset = F.when(of["off"] == "Z", 0).when(of["off"].startswith("-"), -minutes).when(of["off"] != "", minutes).otherwise(named).cast("long")
+
+        def instant(y: Column) -> Column:
+            clock = F.unix_micros(F.try_make_timestamp(y, month, number("d"), hour, number("mi"), number("s").cast("decimal(16,6)"), F.lit("UTC")))
+            wall = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(clock), zone))
+            return F.when(offset.isNotNull(), clock - offset * 60_000_000).otherwise(wall) + fraction
+
+        years = F.when(of["y"] != "", F.array(number("y"))).otherwise(F.array(year - 1, year, year + 1))
+        return F.when(of["n"] != "", F.array(counted)).otherwise(F.transform(years, instant))
+
+    # A lambda binds the parts, so the patterns run once.
+    return F.transform(F.array(F.split(canonical(text), r"\|", -1)), instants)[0]
 
 
 def nearest(instants: Column, to_us: Column) -> Column:
-    """The one of ``instants`` next to ``to_us`` (the earlier on a tie); null if there is none."""
+    """The one of ``instants`` next to ``to_us`` (the earlier on a tie); null if there
+    is none, or several and ``to_us`` is null."""
     known = F.filter(instants, lambda x: x.isNotNull())
-    return F.when(F.size(known) <= 1, F.try_element_at(known, F.lit(1))).otherwise(
-        F.array_min(F.transform(known, lambda x: F.struct(F.abs(x - to_us).alias("far"), x.alias("at")))).getField("at")
+    return F.when(F.size(known) <= 1, F.try_element_at(known, F.lit(1))).when(
+        to_us.isNotNull(),
+        F.array_min(F.transform(known, lambda x: F.struct(F.abs(x - to_us).alias("far"), x.alias("at")))).getField("at"),
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,32 +17,39 @@ KEY = ("time_text", "zone", "receipt_year")
 class TimeDictionary:
     """Distinct (written time, zone, year of receipt) -> instants, kept as a table.
 
-    ``update`` parses only combinations that the table lacks and appends them;
-    each is parsed once, however many rows and runs it occurs in.  Readers see
-    whole appends only, as Parquet output is committed by the job.  Null keys
-    never enter.
+    ``update`` parses only combinations that the table lacks and adds them as a
+    folder of its own; each is parsed once, however many rows and runs it occurs
+    in.  Readers take the folders that were complete when they looked: a table
+    read earlier in the same plan stays another relation than one read later.
+    Null keys never enter.
     """
 
     SCHEMA = "time_text string, zone string, receipt_year int, instants array<bigint>"
 
     def __init__(self, spark, path: str):
         self.spark = spark
-        self.path = path
-
-    def read(self) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        self.path = path.rstrip("/")
 
-    def _exists(self) -> bool:
+    def _parts(self) -> list[str]:
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(self.path)
-        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(at):
+            return []
+        folders = [str(f.getPath()) for f in fs.listStatus(at) if f.isDirectory()]
+        return sorted(f for f in folders if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{f}/_SUCCESS")))
+
+    def read(self) -> DataFrame:
+        parts = self._parts()
+        return self.spark.read.schema(self.SCHEMA).parquet(*parts) if parts else self.spark.createDataFrame([], self.SCHEMA)
 
     def update(self, keys: DataFrame) -> DataFrame:
         """Adds what is new in ``keys`` (columns KEY) and returns the table."""
         new = keys.select(*KEY).dropna().distinct()
-        if self._exists():
+        if self._parts():
             new = new.join(self.read(), list(KEY), "left_anti")
-        new.withColumn("instants", written_instants(F.col("time_text"), F.col("zone"), F.col("receipt_year"))).write.mode("append").parquet(self.path)
+        parsed = new.withColumn("instants", written_instants(F.col("time_text"), F.col("zone"), F.col("receipt_year")))
+        parsed.write.parquet(f"{self.path}/part-{time.time_ns():020d}-{uuid.uuid4().hex}")
         return self.read()
 
 
