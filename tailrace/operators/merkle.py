@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tailrace.io import saved, small
+
 #: Keys of numbered feeds in one leaf; children of one inner node; levels above the leaves.
 LEAF_WIDTH = 64
 FANOUT = 64
@@ -37,10 +39,25 @@ def hash_leaf(key):
     return F.pmod(F.xxhash64(key), F.lit(HASH_LEAVES)).cast("bigint")
 
 
+def _digests(keep=None) -> list:
+    """Aggregates of a leaf: sums and exclusive ors of two hashes make up its digest;
+    both are formed in parts before the shuffle.  ``keep``: of these rows only."""
+    of = (lambda c: c) if keep is None else (lambda c: F.when(keep, c))
+    d = F.col("digest")
+    return [F.count(of(F.lit(1))).alias("n"), F.xxhash64(F.bit_xor(of(d)), F.bit_xor(of(F.xxhash64(d))), F.sum(of(F.shiftright(d, 20))), F.count(of(F.lit(1)))).alias("digest")]
+
+
 def leaves(rows: DataFrame) -> DataFrame:
-    """(feed, leaf, n, digest).  Sums and exclusive ors of two hashes make up the
-    digest: both are formed in parts before the shuffle."""
-    return rows.groupBy("feed", "leaf").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("digest").alias("x"), F.bit_xor(F.xxhash64("digest")).alias("y"), F.sum(F.shiftright("digest", 20)).alias("z")).select("feed", "leaf", "n", F.xxhash64("x", "y", "z", "n").alias("digest"))
+    """(feed, leaf, n, digest)."""
+    return rows.groupBy("feed", "leaf").agg(*_digests())
+
+
+def paired_leaves(rows: DataFrame, was) -> tuple[DataFrame, DataFrame]:
+    """Leaves of all ``rows`` and of those for which ``was`` holds, from one pass."""
+    now = [c.alias(f"now_{k}") for c, k in zip(_digests(), ("n", "digest"))]
+    then = [c.alias(f"was_{k}") for c, k in zip(_digests(was), ("n", "digest"))]
+    both = saved(rows.groupBy("feed", "leaf").agg(*now, *then), "leaves")
+    return tuple(both.filter(f"{k}_n > 0").select("feed", "leaf", F.col(f"{k}_n").alias("n"), F.col(f"{k}_digest").alias("digest")) for k in ("now", "was"))
 
 
 def level_up(nodes: DataFrame, id_col: str = "leaf") -> DataFrame:
@@ -91,16 +108,17 @@ def found(wal: DataFrame, notable: DataFrame, run_log: DataFrame) -> DataFrame:
     """
     marks = feed_marks(run_log)
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    newest = F.greatest(micros("created_at"), micros("updated_at"))
     of_wal = wal.filter("wal_file is not null and sequence_number is not null").select(
         F.col("wal_file").alias("feed"), F.col("sequence_number").cast("string").alias("rec_key"), number_leaf(F.col("sequence_number")).alias("leaf"), F.col("sequence_number").alias("at")
     )
-    of_notable = notable.filter("id is not null").select(F.lit("notable").alias("feed"), F.col("id").alias("rec_key"), hash_leaf(F.col("id")).alias("leaf"), newest.alias("at"))
-    rows = of_wal.unionByName(of_notable).groupBy("feed", "rec_key", "leaf").agg(F.max("at").alias("at"), F.min("at").alias("least"))
-    rows = rows.join(F.broadcast(marks) if marks.limit(100_001).count() <= 100_000 else marks, "feed", "left").withColumn("due", F.coalesce(F.col("at") > F.col("mark"), F.col("mark").isNull()))
-    digest = F.xxhash64("rec_key", "at", "least")
-    now = rows.withColumn("digest", digest)
-    return changed_records(now, leaves(now.filter("not due"))).filter("due").select("feed", "rec_key")
+    of_notable = notable.filter("id is not null").select(
+        F.lit("notable").alias("feed"), F.col("id").alias("rec_key"), hash_leaf(F.col("id")).alias("leaf"), F.greatest(micros("created_at"), micros("updated_at")).alias("at")
+    )
+    rows = of_wal.unionByName(of_notable).withColumn("digest", F.xxhash64("rec_key", "at"))
+    rows = rows.join(small(marks), "feed", "left").withColumn("due", F.coalesce(F.col("at") > F.col("mark"), F.col("mark").isNull()))
+    now, was = paired_leaves(rows, ~F.col("due"))
+    changed = small(saved(changed_leaves(now, was), "changed"))
+    return rows.filter("due").join(changed, ["feed", "leaf"], "left_semi").select("feed", "rec_key").distinct()
 
 
 class MerkleState:
