@@ -44,7 +44,9 @@ def bucket_counts(items: DataFrame) -> DataFrame:
 def thresholds(buckets: DataFrame, share: float, least: int) -> DataFrame:
     """(field_name, total, threshold): a value must occur ``share`` of the total and ``least`` times."""
     total = buckets.filter("hash_no = 0").groupBy("field_name").agg(F.sum("n").alias("total"))
-    return total.withColumn("threshold", F.greatest(F.ceil(F.col("total") * F.lit(share) - F.lit(1e-9)).cast("bigint"), F.lit(least).cast("bigint")))
+    millionths = round(share * 1_000_000)
+    enough = F.call_function("div", F.col("total") * millionths + 999_999, F.lit(1_000_000))
+    return total.withColumn("threshold", F.greatest(enough, F.lit(least).cast("bigint")))
 
 
 def heavy_buckets(buckets: DataFrame, limits: DataFrame) -> DataFrame:
