@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -40,6 +41,10 @@ class SearchResult:
     def stats(self) -> dict:
         return {"columns": self.columns, "rows": [[e.get(c) for c in self.columns] for e in self.events]}
 
+    def to_json(self) -> str:
+        """As a service would answer; times as ISO text."""
+        return json.dumps({"total_count": self.total_count, "execution_time_ms": self.execution_time_ms, "columns": self.columns, "events": self.events, "stats": self.stats}, default=str)
+
 
 class Engine:
     def __init__(self, spark: SparkSession, data_dir: str | None = None):

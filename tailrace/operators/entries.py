@@ -67,7 +67,8 @@ def _segments(wire: DataFrame) -> DataFrame:
         F.col("fields").isNull().alias("bare"),
         "raw",
     )
-    rows = _parsed(lines, "raw", False).withColumn("block", F.call_function("div", F.col("pos"), F.lit(BLOCK)))
+    # text that is blank in a wider sense has no level, not even an empty one
+    rows = _parsed(lines, "raw", False).filter("lvl is not null").withColumn("block", F.call_function("div", F.col("pos"), F.lit(BLOCK)))
     w = Window.partitionBy("b", "h", "s", "block").orderBy("pos", "delivery_id").rowsBetween(Window.unboundedPreceding, 0)
     run = rows.withColumn("entry", F.last(F.when(F.col("begins"), F.col("delivery_id")), ignorenulls=True).over(w))
     at = F.struct("pos", "delivery_id")

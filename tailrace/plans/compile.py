@@ -134,12 +134,17 @@ class Compiler:
 
     def _source(self, c: ast.Search, earliest: str | None, latest: str | None) -> Frame:
         df = self.catalog.load(c.indexes)
+        by_day = dict(df.dtypes).get("date") == "date"  # stored events lie in folders by day
         for bound in (earliest, c.earliest):
             if bound:
-                df = df.filter(F.col("_time") >= time_bound(bound, self.now))
+                at = time_bound(bound, self.now)
+                df = df.filter(F.col("_time") >= at)
+                df = df.filter(F.col("date") >= F.to_date(at)) if by_day else df
         for bound in (latest, c.latest):
             if bound:
-                df = df.filter(F.col("_time") <= time_bound(bound, self.now))
+                at = time_bound(bound, self.now)
+                df = df.filter(F.col("_time") <= at)
+                df = df.filter(F.col("date") <= F.to_date(at)) if by_day else df
         f = Frame(df, (Key("_time"), Key("_id")))
         if c.condition is not None:
             f = replace(f, df=f.df.filter(filter_of(c.condition, self._scope(f))))

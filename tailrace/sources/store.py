@@ -17,8 +17,9 @@ class EventStore:
     """Events below ``path``, partitioned by index and date, sorted by time in each
     file so that row groups can be skipped by their time range."""
 
-    def __init__(self, spark: SparkSession, path: str, codec: str = "zstd"):
-        self.spark, self.path, self.codec = spark, path.rstrip("/"), codec
+    def __init__(self, spark: SparkSession, path: str, codec: str = "zstd", bloom: tuple[str, ...] = ("host",)):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.options = {"compression": codec} | {f"parquet.bloom.filter.enabled#{c}": "true" for c in bloom}
         self._jvm = spark.sparkContext._jvm
         self._fs = self._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -31,7 +32,7 @@ class EventStore:
     def append(self, events: DataFrame) -> None:
         """Adds normalised events.  Days and indexes are split by the rows' hash only
         as far as the writer's tasks do, so a hot day is written by many tasks."""
-        events.sortWithinPartitions("index", "date", "_time").write.mode("append").option("compression", self.codec).partitionBy("index", "date").parquet(self.path)
+        events.sortWithinPartitions("index", "date", "_time").write.mode("append").options(**self.options).partitionBy("index", "date").parquet(self.path)
 
     def read(self, index: str | None = None, first_day: str | None = None, last_day: str | None = None) -> DataFrame:
         """Events of the store; bounds on index and day prune folders."""
@@ -88,7 +89,7 @@ class EventStore:
             temporary, old = f"{aside}/new", f"{aside}/old"
             df = self.spark.read.parquet(folder)
             df = df.repartitionByRange(n, "_time") if n > 1 else df.coalesce(1)
-            df.sortWithinPartitions("_time").write.option("compression", self.codec).parquet(temporary)
+            df.sortWithinPartitions("_time").write.options(**self.options).parquet(temporary)
             self._fs.rename(self._at(folder), self._at(old))
             self._fs.rename(self._at(temporary), self._at(folder))
             self._fs.delete(self._at(aside), True)

@@ -246,6 +246,11 @@ def test_p4_dictionary_grows_by_what_is_new(spark, tmp_path):
     assert d.update(keys("2024-01-01 00:00:00", "2024-01-01 00:00:00", None)).count() == 1
     assert d.update(keys("2024-01-01 00:00:00", "2024-01-02 00:00:00")).count() == 2
     assert d.update(keys("2024-01-01 00:00:00")).count() == 2
+    # two states of the table in one plan stay two
+    e = instants.TimeDictionary(spark, str(tmp_path / "e"))
+    older, newer = e.update(keys("2024-01-01 00:00:00")), e.update(keys("2024-01-03 00:00:00"))
+    assert older.join(newer, "time_text").count() == 1 and newer.join(older, "time_text").count() == 1
+    assert older.groupBy("time_text").count().unionByName(newer.groupBy("time_text").count()).count() == 3
 
 
 # --- problem 5 ---------------------------------------------------------------

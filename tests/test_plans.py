@@ -153,3 +153,15 @@ def test_tokens_against_a_byte_model(spark):
 def test_pairs_as_map(spark):
     df = spark.createDataFrame([('a=1,b="x y" a=2',), ("none",), (None,)], "t string")
     assert [r[0] for r in df.select(extract_map(F.col("t"))).collect()] == [{"a": "2", "b": "x y"}, {}, {}]
+
+
+def test_time_bounds_prune_days_of_the_store(spark, tmp_path):
+    from tailrace.api import Engine
+
+    e = Engine(spark, str(tmp_path / "s"))
+    e.ingest([{"raw": f"2024-01-0{d}T00:00:00Z x"} for d in (1, 2, 3)])
+    df = e.dataframe("search index=main earliest=2024-01-02 | stats count")
+    assert df.first()[0] == 2
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert '"total_count": 1' in e.execute("search index=main earliest=2024-01-03 | table _time").to_json()

@@ -152,3 +152,27 @@ def test_syslog_listener_over_udp_and_tcp(spark):
 def test_bytes_for_reading(spark):
     df = spark.createDataFrame([(5,), (2048,), (3 * 1024**2,), (5 * 1024**3,), (None,)], "n long").select(bytes_text(F.col("n")))
     assert [r[0] for r in df.collect()] == ["5 B", "2.0 KB", "3.0 MB", "5.0 GB", None]
+
+
+def test_postings(spark, tmp_path):
+    from tailrace.sources.postings import Postings
+
+    ev = spark.createDataFrame([(1, "Failed login attempt from server"), (2, "Successful login from server"), (3, "Failed connection to database"), (4, None)], "_id long, _raw string")
+    p = Postings(spark, str(tmp_path / "p"))
+    p.build(ev)
+    assert sorted(r[0] for r in p.ids(["failed"]).collect()) == [1, 3]
+    assert [r[0] for r in p.search(ev, ["failed", "LOGIN"]).select("_id").collect()] == [1]
+    assert sorted(r[0] for r in p.ids(["attempt", "database", "nothing"], every=False).collect()) == [1, 3]
+    assert tuple(p.statistics().first()) == (9, 13)
+    assert Postings.union([p.read(), p.read()]).count() == 13
+
+
+def test_config(tmp_path, spark):
+    from tailrace.config import Config
+
+    (tmp_path / "c.json").write_text('{"data_dir": "/x", "shuffle_partitions": 4}')
+    assert Config.load(tmp_path / "c.json").data_dir == "/x"
+    Config.load(tmp_path / "c.json").apply(spark)
+    (tmp_path / "c.json").write_text('{"odd": 1}')
+    with pytest.raises(ValueError):
+        Config.load(tmp_path / "c.json")

@@ -62,3 +62,16 @@ def test_watermarked_counts_and_repeats(spark, tmp_path):
 
 def test_input_schema_is_what_streams_take(spark):
     assert spark.createDataFrame([], INPUT).columns == ["raw", "host", "source", "sourcetype", "index", "timestamp_us"]
+
+
+def test_rules_over_a_stream(spark, tmp_path):
+    from tailrace.detect.rules import BUILTIN
+    from tailrace.streaming.detect import watch
+    from tests.events import SAMPLE
+
+    src, got = str(tmp_path / "in"), []
+    data = [(h, r) for _, h, raws in SAMPLE for r in raws]
+    spark.createDataFrame(data, "host string, _raw string").write.parquet(src)
+    stream = spark.readStream.schema("host string, _raw string").parquet(src)
+    watch(stream, BUILTIN, lambda df, n: got.extend(df.collect()), str(tmp_path / "cp"), once=True).awaitTermination()
+    assert sum(r.n for r in got if r.rule_id == "BF-001") == 6 and {r.rule_id for r in got} == {r.id for r in BUILTIN}
