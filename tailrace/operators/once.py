@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tailrace.io import host_key, small
+from tailrace.io import host_key, saved, small
 
 #: Groups of at least so many copies are spread over all tasks.
 HOT_COPIES = 100_000
@@ -24,18 +26,21 @@ def frequencies(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy("k_id", "k_host").agg(F.count(F.lit(1)).alias("copies"), F.min("seq").alias("first"))
 
 
-def ranked_copies(keyed: DataFrame, counted: DataFrame, hot_copies: int = HOT_COPIES) -> DataFrame:
+def ranked_copies(keyed: DataFrame, counted: DataFrame, hot_copies: int | None = None) -> DataFrame:
     """(seq, is_first) of the rows of repeated identifiers.
 
-    Groups of ``hot_copies`` and more number at most rows/hot_copies and are
+    Groups of ``hot_copies`` and more are few (at most rows/hot_copies) and are
     looked up where their rows lie; the others meet their rows in a shuffle, in
     groups below ``hot_copies``.
     """
-    repeated = counted.filter("copies > 1")
-    hot = small(repeated.filter(F.col("copies") >= hot_copies).select("k_id", "k_host", "first"))
-    cold = repeated.filter(F.col("copies") < hot_copies).select("k_id", "k_host", "first")
-    parts = [keyed.join(side, ["k_id", "k_host"]).select("seq", (F.col("seq") == F.col("first")).alias("is_first")) for side in (hot, cold)]
-    return parts[0].unionByName(parts[1])
+    hot_copies = hot_copies or HOT_COPIES
+    repeated = saved(counted.filter("copies > 1"), "repeated")
+    is_hot = F.col("copies") >= hot_copies
+    sides = [repeated.filter(~is_hot)]
+    if not repeated.filter(is_hot).limit(1).isEmpty():
+        sides.append(small(repeated.filter(is_hot)))
+    first = F.col("seq") == F.col("first")
+    return reduce(DataFrame.unionByName, [keyed.join(s.select("k_id", "k_host", "first"), ["k_id", "k_host"]).select("seq", first.alias("is_first")) for s in sides])
 
 
 def redundant(rows: DataFrame, seq: str = "delivery_id", id_col: str = "id", host: str = "host") -> DataFrame:
