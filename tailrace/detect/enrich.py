@@ -42,8 +42,8 @@ def with_assets(events: DataFrame, assets: DataFrame, host: str = "host", column
     """``events`` with what is known of their host; hosts are compared as host names
     are.  If several assets have a name, that with the least asset_id counts."""
     named = assets.withColumn("__h", host_key(F.col("hostname"))).filter("__h is not null")
-    one = named.groupBy("__h").agg(F.min_by(F.struct(*[F.col(c).alias(f"asset_{c}" if c in events.columns else c) for c in columns]), F.coalesce("asset_id", F.lit(""))).alias("a"))
-    return events.withColumn("__h", host_key(F.col(host))).join(small(one), "__h", "left").select("*", "a.*").drop("__h", "a")
+    one = named.groupBy("__h").agg(F.min_by(F.struct(*[F.col(c).alias(f"asset_{c}" if c in events.columns else c) for c in columns]), F.coalesce("asset_id", F.lit(""))).alias("__a"))
+    return events.withColumn("__h", host_key(F.col(host))).join(small(one), "__h", "left").select("*", "__a.*").drop("__h", "__a")
 
 
 def risk(notables: DataFrame, entity: str = "host") -> DataFrame:

@@ -47,7 +47,6 @@ class Frame:
     df: DataFrame
     order: tuple[Key, ...] = ()
     events: bool = True  # rows are still events: unknown fields are looked for in them
-    sorted: bool = False
     hidden: tuple[str, ...] = field(default=())
 
 
@@ -84,6 +83,18 @@ def time_bound(text: str, now: datetime | None = None) -> Column:
     return F.lit(at.isoformat(sep=" ")).cast("timestamp")
 
 
+def _falling(c: Column, kind: str) -> Column:
+    """A value that falls where ``c`` rises."""
+    if is_numeric(kind):
+        return -c
+    if kind in ("timestamp", "timestamp_ntz", "date"):
+        return -F.unix_micros(c.cast("timestamp"))
+    if kind == "boolean":
+        return ~c
+    # the complement of each byte, with an end that sorts a text after its extensions
+    return F.concat(F.translate(F.hex(c.cast("string")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+
+
 class Compiler:
     """``mode``: 'typed', or 'compat' for comparison and order of texts, numbers
     with six decimals, missing fields as empty texts and ``count(f)`` over rows."""
@@ -236,19 +247,19 @@ class Compiler:
             if k.field not in df.columns:
                 df = df.withColumn(k.field, scope.field(k.field).column)
         keys = tuple(Key(k.field, k.descending, self.compat) for k in c.keys)
-        f = replace(f, df=df, order=keys + tuple(k for k in f.order if k.name not in {x.name for x in keys}), sorted=True)
+        f = replace(f, df=df, order=keys + tuple(k for k in f.order if k.name not in {x.name for x in keys}))
         df = f.df.orderBy(*self._order(f))
         return replace(f, df=df.limit(c.limit) if c.limit else df)
 
     def _head(self, f: Frame, c: ast.Head) -> Frame:
         order = self._order(f)
-        return replace(f, df=(f.df.orderBy(*order) if order else f.df).limit(c.n), sorted=True)
+        return replace(f, df=(f.df.orderBy(*order) if order else f.df).limit(c.n))
 
     def _tail(self, f: Frame, c: ast.Tail) -> Frame:
         order = self._order(f)
         if not order:
             return replace(f, df=f.df.limit(c.n))
-        return replace(f, df=f.df.orderBy(*self._order(f, reverse=True)).limit(c.n).orderBy(*order), sorted=True)
+        return replace(f, df=f.df.orderBy(*self._order(f, reverse=True)).limit(c.n).orderBy(*order))
 
     def _dedup(self, f: Frame, c: ast.Dedup) -> Frame:
         """The first ``n`` rows of each combination; rows that lack a field are left out."""
@@ -299,16 +310,31 @@ class Compiler:
             return F.count_distinct(F.coalesce(text, F.lit("")) if self.compat else c)
         if a.func == "values":
             return F.concat_ws(", ", F.array_sort(F.collect_set(text)))
-        keys = [F.col(f"`{k.name}`") for k in f.order if k.name in f.df.columns]
-        at = F.struct(*[(F.coalesce(k.cast("string"), F.lit("")) if o.lexical else k).alias(f"o{i}") for i, (k, o) in enumerate(zip(keys, [k for k in f.order if k.name in f.df.columns]))]) if keys else F.monotonically_increasing_id()
+        at = self._place(f)
         if a.func == "list":
-            if any(k.descending for k in f.order):
-                raise QuerySemanticError("list goes by rising order; sort after it")
             pairs = F.array_sort(F.collect_list(F.struct(at.alias("at"), text.alias("x"))))
             return F.transform(F.filter(pairs, lambda p: p["x"].isNotNull()), lambda p: p["x"])
-        first = (a.func == "first") != bool(f.order and f.order[0].descending)
         value = F.coalesce(text, F.lit("")) if self.compat else c
-        return (F.min_by if first else F.max_by)(value, at)
+        return (F.min_by if a.func == "first" else F.max_by)(value, at)
+
+    def _place(self, f: Frame) -> Column:
+        """A row's place in the order, as a value that rises along it."""
+        parts, kinds = [], dict(f.df.dtypes)
+        for k in f.order:
+            if k.name not in kinds:
+                continue
+            c, kind = F.col(f"`{k.name}`"), kinds[k.name]
+            if k.lexical:
+                keys = [(F.coalesce(c.cast("string"), F.lit("")), "string")]
+            elif kind == "string" and not k.name.startswith("_"):
+                keys = [(number(c, kind), "double"), (c, "string")]
+            else:
+                keys = [(c, kind)]
+            for x, t in keys:
+                parts += [x.isNull(), _falling(x, t) if k.descending else x]
+        if not parts:
+            return F.monotonically_increasing_id()
+        return F.struct(*[p.alias(f"p{i}") for i, p in enumerate(parts)])
 
     def _stats(self, f: Frame, c: ast.Stats) -> Frame:
         """Groups by the given fields; without rows there is no group, so no row."""

@@ -68,6 +68,14 @@ def test_stats_forms(cat):
     assert run(cat, "search index=main nothing | stats min(n) AS lo") == []
 
 
+def test_order_of_first_last_and_list(cat):
+    assert run(cat, "search index=main | sort -_id | stats first(_id) AS f, last(_id) AS l, list(_id) AS x") == [(4, 1, ["4", "3", "2", "1"])]
+    assert run(cat, "search index=main | sort -host, -_id | stats list(_id) AS x") == [(["2", "3", "1", "4"],)]
+    assert run(cat, "search index=main | sort -bytes | stats list(_id) AS x, first(_id) AS f") == [(["3", "1", "2", "4"], 3)]
+    with pytest.raises(QueryError):
+        run(cat, "search index=main | stats count AS host by host")
+
+
 def test_compat_aggregates(cat):
     q = "search index=main | stats count(host) AS n, dc(host) AS d, sum(k) AS s, avg(nope) AS a by sourcetype | sort sourcetype"
     assert run(cat, q, "compat") == [("x", 2, 2, "15.000000", "0"), ("y", 2, 2, "0.000000", "0")]
