@@ -33,10 +33,13 @@ SHAPES = ("prose", "list", "table", "junk")
 
 # Additive counts of a line.
 COUNTS = (
-    "chars", "blanks", "words", "word_chars", "common", "letters", "vowels", "spare", "digits", "symbols", "damaged", "pipes", "tabs", "semicolons", "commas",
-    "gaps", "tags", "cells_html", "percents", "hexes", "longs", "long_chars", "assigned", "stamps", "commands", "codes",
+    "chars", "blanks", "words", "word_chars", "common", "letters", "vowels", "digits", "symbols", "damaged", "pipes", "tabs", "semicolons", "commas",
+    "gaps", "tags", "cells", "percents", "hexes", "longs", "long_chars", "assigned", "stamps", "ticks", "braces",
 )
-_AT = {n: k for k, n in enumerate(COUNTS)}
+(
+    CHARS, BLANKS, WORDS, WORD_CHARS, COMMON, LETTERS, VOWELS, DIGITS, SYMBOLS, DAMAGED, PIPES, TABS, SEMICOLONS, COMMAS,
+    GAPS, TAGS, CELLS, PERCENTS, HEXES, LONGS, LONG_CHARS, ASSIGNED, STAMPS, TICKS, BRACES,
+) = range(len(COUNTS))
 
 _BREAK = re.compile(r"\r\n|\r|\n")
 _BULLET = re.compile(r"\s*(?:\[[ xX]?\]|[-*+•◦▪‣·–]|\(?\d{1,3}[.)]|\(?[A-Za-z][.)])\s+\S")
@@ -99,13 +102,13 @@ def _words_of(common: frozenset) -> _Words:
 
 def _add_words(words: list[str], c: list, memo: _Words) -> None:
     """Adds whole words (runs without white space) to the counts."""
-    c[2] += len(words)
-    c[3] += sum(map(len, words))
+    c[WORDS] += len(words)
+    c[WORD_CHARS] += sum(map(len, words))
     packed = sum(map(memo.__getitem__, words))
-    c[4] += packed & _ONE
-    c[19] += packed >> 24 & _ONE
-    c[20] += packed >> 48 & _ONE
-    c[21] += packed >> 72 & (1 << 40) - 1
+    c[COMMON] += packed & _ONE
+    c[HEXES] += packed >> 24 & _ONE
+    c[LONGS] += packed >> 48 & _ONE
+    c[LONG_CHARS] += packed >> 72 & (1 << 40) - 1
 
 
 def _pattern_counts(text: str) -> tuple[int, ...]:
@@ -120,7 +123,7 @@ def _pattern_counts(text: str) -> tuple[int, ...]:
     )
 
 
-_PATTERNS = (10, 15, 16, 17, 18, 23)
+_PATTERNS = (DAMAGED, GAPS, TAGS, CELLS, PERCENTS, STAMPS)
 #: Characters at the edges of a part in which severed patterns are looked for.
 _NEAR = 64
 
@@ -163,33 +166,33 @@ def _text_counts(text: str, c: list) -> None:
         blanks += sum(map(str.isspace, beyond))
         digits += sum(map(str.isdigit, beyond))
         vowels += sum(map(_VOWELS.__contains__, beyond))
-        c[10] += sum(map(len, _DAMAGE.findall(text)))
+        c[DAMAGED] += sum(map(len, _DAMAGE.findall(text)))
     elif letters + blanks + digits < n and _CONTROL.search(text):
-        c[10] += len(_DAMAGE.findall(text))
-    c[0] += n
-    c[1] += blanks
-    c[5] += letters
-    c[6] += vowels
-    c[8] += digits
-    c[9] += n - blanks - letters - digits
+        c[DAMAGED] += len(_DAMAGE.findall(text))
+    c[CHARS] += n
+    c[BLANKS] += blanks
+    c[LETTERS] += letters
+    c[VOWELS] += vowels
+    c[DIGITS] += digits
+    c[SYMBOLS] += n - blanks - letters - digits
     if "  " in text:
-        c[15] += len(_GAP.findall(text))
+        c[GAPS] += len(_GAP.findall(text))
     if letters + blanks + digits == n and "\t" not in text:
         return
-    c[11] += text.count("|")
-    c[12] += text.count("\t")
-    c[13] += text.count(";")
-    c[14] += text.count(",")
+    c[PIPES] += text.count("|")
+    c[TABS] += text.count("\t")
+    c[SEMICOLONS] += text.count(";")
+    c[COMMAS] += text.count(",")
     if "<" in text:
-        c[16] += sum(map(len, _TAG.findall(text)))
-        c[17] += len(_CELL_TAG.findall(text))
+        c[TAGS] += sum(map(len, _TAG.findall(text)))
+        c[CELLS] += len(_CELL_TAG.findall(text))
     if "%" in text:
-        c[18] += len(_PERCENT.findall(text))
-    c[22] += text.count("=")
+        c[PERCENTS] += len(_PERCENT.findall(text))
+    c[ASSIGNED] += text.count("=")
     if ":" in text:
-        c[23] += len(_STAMP.findall(text))
-    c[24] += text.count("`")
-    c[25] += text.count("{") + text.count("}")
+        c[STAMPS] += len(_STAMP.findall(text))
+    c[TICKS] += text.count("`")
+    c[BRACES] += text.count("{") + text.count("}")
 
 
 def part(text: str, common: frozenset, first: bool, last: bool) -> Line:
@@ -222,8 +225,8 @@ def join_parts(a: Line, b: Line, common: frozenset) -> Line:
     if a.last and b.first:
         for k, n, x, y in zip(_PATTERNS, _pattern_counts(a.last + b.first), _pattern_counts(a.last), _pattern_counts(b.first)):
             r.c[k] += n - x - y
-    r.first = (a.first + b.first)[:_NEAR] if a.c[0] < _NEAR else a.first
-    r.last = (a.last + b.last)[-_NEAR:] if b.c[0] < _NEAR else b.last
+    r.first = (a.first + b.first)[:_NEAR] if a.c[CHARS] < _NEAR else a.first
+    r.last = (a.last + b.last)[-_NEAR:] if b.c[CHARS] < _NEAR else b.last
     if a.whole and b.whole:
         r.head, r.whole = a.head + b.head, True
     elif a.whole:
@@ -255,40 +258,40 @@ def ends_in_punctuation(last: str) -> bool:
 
 def line_shape(c: list, first: str, last: str) -> str:
     """prose, list, table, junk or '' (says nothing) for a finished line."""
-    chars = c[0] - c[1]
-    words = c[2]
+    chars = c[CHARS] - c[BLANKS]
+    words = c[WORDS]
     if chars == 0 or words == 0:
         return ""
-    if c[10] * 20 >= chars:
+    if c[DAMAGED] * 20 >= chars:
         return "junk"
-    if c[18] >= 3 and c[18] * 3 * 10 >= chars * 3:
+    if c[PERCENTS] >= 3 and c[PERCENTS] * 3 * 10 >= chars * 3:
         return "junk"
-    if c[21] * 2 > chars:
+    if c[LONG_CHARS] * 2 > chars:
         return "junk"
-    share = c[4] / words
-    if words >= 6 and c[19] >= 6 and c[19] * 10 >= words * 6:
+    share = c[COMMON] / words
+    if words >= 6 and c[HEXES] >= 6 and c[HEXES] * 10 >= words * 6:
         return "junk"
-    if c[17]:
+    if c[CELLS]:
         return "table"
     ended = ends_in_punctuation(last)
     bullet = _BULLET.match(first) is not None
-    if (c[5] + c[8]) * 10 < chars * 2:
+    if (c[LETTERS] + c[DIGITS]) * 10 < chars * 2:
         return "table" if _RULE.match(last) and chars >= 3 else ("junk" if chars >= 12 else "")
-    if c[9] * 2 > chars and c[11] < 2:
+    if c[SYMBOLS] * 2 > chars and c[PIPES] < 2:
         return "junk"
     if words >= 4 and share >= 0.25:
         return "prose"
-    gaps = 0 if words >= 10 and c[15] * 10 >= (words - 1) * 7 else c[15]  # wide spacing throughout sets off no cells
-    cells = max(c[11] - 1, c[12], c[13], c[14] if not ended else 0, gaps)
-    if (cells >= 2 or c[12] or (c[11] >= 2 and first.lstrip()[:1] == "|")) and words <= 3.5 * (cells + 1) and c[24] < 2:
+    gaps = 0 if words >= 10 and c[GAPS] * 10 >= (words - 1) * 7 else c[GAPS]  # wide spacing throughout sets off no cells
+    cells = max(c[PIPES] - 1, c[TABS], c[SEMICOLONS], c[COMMAS] if not ended else 0, gaps)
+    if (cells >= 2 or c[TABS] or (c[PIPES] >= 2 and first.lstrip()[:1] == "|")) and words <= 3.5 * (cells + 1) and c[TICKS] < 2:
         return "table"
-    if words >= 7 and c[5] * 2 > chars:
+    if words >= 7 and c[LETTERS] * 2 > chars:
         return "prose"
-    if ended and not bullet and c[5] * 2 > chars:
+    if ended and not bullet and c[LETTERS] * 2 > chars:
         return "prose"
-    if c[15] >= 1 and not bullet and share == 0 and words <= 8:
+    if c[GAPS] >= 1 and not bullet and share == 0 and words <= 8:
         return "table"
-    if words >= 3 and share > 0 and not bullet and c[5] * 2 > chars:
+    if words >= 3 and share > 0 and not bullet and c[LETTERS] * 2 > chars:
         return "prose"
     return "list" if words <= 8 else "prose"
 
@@ -312,12 +315,12 @@ class State:
 
     def add_line(self, c: list, first: str, last: str) -> None:
         self.lines += 1
-        if c[2]:
+        if c[WORDS]:
             self.nonblank += 1
             self.ended += ends_in_punctuation(last)
             shape = line_shape(c, first, last)
             if shape:
-                self.mass[shape] += c[0] - c[1]
+                self.mass[shape] += c[CHARS] - c[BLANKS]
                 self.count[shape] += 1
         t = self.total
         for k, v in enumerate(c):
@@ -440,20 +443,20 @@ def _share(a: float, b: float) -> float:
 def shape_of(s: State) -> str:
     """The rule outcome for a finished state; '' for texts without words."""
     t = s.total
-    if not t[2]:
+    if not t[WORDS]:
         return ""
     repeated = _share(max(s.repeats), s.n_words)
     if s.n_words >= 20 and repeated >= 0.5:
         return "junk"
     mass = dict(s.mass)
-    vowels = _share(t[6], t[5])
-    common = _share(t[4], t[2])
+    vowels = _share(t[VOWELS], t[LETTERS])
+    common = _share(t[COMMON], t[WORDS])
     # letters drawn at random: few vowels, no common words
-    if t[5] >= 60 and vowels < 0.29 and common < 0.02 and t[8] < t[5] and mass["table"] * 2 < sum(mass.values()):
+    if t[LETTERS] >= 60 and vowels < 0.29 and common < 0.02 and t[DIGITS] < t[LETTERS] and mass["table"] * 2 < sum(mass.values()):
         return "junk"
     total = sum(mass.values())
     if not total:
-        return "junk" if t[9] * 2 > t[0] - t[1] else "prose"
+        return "junk" if t[SYMBOLS] * 2 > t[CHARS] - t[BLANKS] else "prose"
     # one long sentence among short items doesn't make a list prose
     if s.count["list"] >= 3 and s.count["list"] * 10 >= 6 * sum(s.count.values()):
         return "list"
@@ -464,11 +467,11 @@ def shape_of(s: State) -> str:
 
 def stats_row(s: State) -> tuple:
     t, m = s.total, s.mass
-    solid = t[0] - t[1]
+    solid = t[CHARS] - t[BLANKS]
     total = sum(m.values())
     return (
-        t[0], t[2], s.nonblank, _share(t[3], t[2]), _share(t[9], solid), _share(t[8], solid), _share(s.ended, s.nonblank), _share(t[4], t[2]),
-        _share(t[6], t[5]), _share(max(s.repeats), s.n_words), *(_share(m[k], total) for k in SHAPES), shape_of(s),
+        t[CHARS], t[WORDS], s.nonblank, _share(t[WORD_CHARS], t[WORDS]), _share(t[SYMBOLS], solid), _share(t[DIGITS], solid), _share(s.ended, s.nonblank), _share(t[COMMON], t[WORDS]),
+        _share(t[VOWELS], t[LETTERS]), _share(max(s.repeats), s.n_words), *(_share(m[k], total) for k in SHAPES), shape_of(s),
     )
 
 
