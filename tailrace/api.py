@@ -13,6 +13,7 @@ from tailrace.detect.engine import Detector
 from tailrace.detect.notables import NotableStore
 from tailrace.lang.errors import QueryError
 from tailrace.lang.parser import parse
+from tailrace.metrics import Metrics
 from tailrace.plans.catalog import Catalog
 from tailrace.plans.compile import Compiler
 from tailrace.plans.semantic import check, referenced_fields, referenced_indexes
@@ -53,6 +54,7 @@ class Engine:
         self.store = EventStore(spark, data_dir) if data_dir else None
         self.notables = NotableStore()
         self.detector = Detector(self.catalog, self.notables)
+        self.metrics = Metrics()
         self._known: set[str] = set()
         self._refresh()
 
@@ -70,17 +72,31 @@ class Engine:
         self._refresh()
         return Compiler(self.catalog, mode).compile(query, earliest, latest)
 
-    def execute(self, query: str, earliest: str | None = None, latest: str | None = None, max_results: int = MAX_RESULTS, mode: str = "typed") -> SearchResult:
+    def execute(self, query: str, earliest: str | None = None, latest: str | None = None, max_results: int = MAX_RESULTS, mode: str = "typed", tag: str | None = None) -> SearchResult:
         """Runs a query and brings at most ``max_results`` rows; ``total_count`` is the
-        number of rows of the whole result.  Raises QueryError for a bad query."""
+        number of rows of the whole result.  Raises QueryError for a bad query.
+        A query with a ``tag`` can be stopped by :meth:`cancel` from another thread."""
         if not 0 < max_results <= MOST_RESULTS:
             raise ValueError(f"max_results must be from 1 to {MOST_RESULTS}")
         began = time.perf_counter()
         df = self.dataframe(query, earliest, latest, mode)
-        rows = df.limit(max_results + 1).collect()
-        total = len(rows) if len(rows) <= max_results else df.count()
+        if tag:
+            self.spark.addTag(tag)
+        try:
+            rows = df.limit(max_results + 1).collect()
+            total = len(rows) if len(rows) <= max_results else df.count()
+        finally:
+            if tag:
+                self.spark.removeTag(tag)
         events = [r.asDict(recursive=True) for r in rows[:max_results]]
-        return SearchResult(total, df.columns, events, (time.perf_counter() - began) * 1000)
+        took = (time.perf_counter() - began) * 1000
+        self.metrics.add("queries_total")
+        self.metrics.observe("query_ms", took)
+        return SearchResult(total, df.columns, events, took)
+
+    def cancel(self, tag: str) -> None:
+        """Stops the running queries with this tag."""
+        self.spark.interruptTag(tag)
 
     def parse(self, query: str) -> dict:
         """What a query is made of, or where it is wrong."""
@@ -98,6 +114,7 @@ class Engine:
         events = list(events)
         self.store.append(normalise(batch(self.spark, events, **defaults)))
         self._refresh()
+        self.metrics.add("events_total", len(events))
         return len(events)
 
     def list_indexes(self) -> list[dict]:

@@ -12,11 +12,16 @@ from tailrace.detect.engine import single_scan
 from tailrace.detect.rules import BUILTIN, Rule
 from tailrace.functions.syslog import syslog_fields
 from tailrace.functions.text import bytes_text, tokens
-from tailrace.io import host_key, table
+from tailrace.functions.instants import micros_of_number
+from tailrace.io import host_key, scratch, table
 from tailrace.operators.instants import normalise_written_times
+from tailrace.operators.panes import PaneSpec
 from tailrace.plans.catalog import Catalog
-from tailrace.plans.compile import Compiler, wide
-from tailrace.sources.lines import sourcetype_of
+from tailrace.plans.compile import Compiler, filled, wide
+from tailrace.queries import SQL as core_sql
+from tailrace.sources.lines import break_lines, sourcetype_of
+from tailrace.sources.postings import Postings
+from tailrace.streaming.panes import PaneStore, start
 
 
 def catalog(spark: SparkSession, d: str) -> Catalog:
@@ -292,6 +297,33 @@ def _bytes_text(spark, d):
     return table(spark, d, "segment_meta").select("segment_id", bytes_text(F.col("size_bytes")).alias("size"))
 
 
+def _timechart_filled(spark, d):
+    chart = Compiler(catalog(spark, d)).compile("search index=events host=host-3 source=error | timechart span=1h count")
+    return filled(chart, "1h", "count").select(F.date_format("_time", "yyyy-MM-dd HH:mm:ss").alias("bucket"), "count")
+
+
+def _line_breaks(spark, d):
+    lines = break_lines(table(spark, d, "documents").select("doc_id", "text"), "single", "text")
+    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+def _postings_search(spark, d):
+    p = Postings(spark, scratch(spark, "postings"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("_id"), F.col("text").alias("_raw"))
+    p.build(docs)
+    return p.search(docs, ["journal", "queue"]).select("_id")
+
+
+def _stream_panes(spark, d):
+    """Pane counts taken through a stream; the same as of the batch."""
+    rows = table(spark, d, "ingest_event").select("ingest_id", "received_us", "timestamp_us", "index_name")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{d}/ingest_event.parquet*")
+    at, spec = scratch(spark, "stream"), PaneSpec()
+    stated = micros_of_number(F.when(F.col("timestamp_us") != 0, F.col("timestamp_us")))
+    start(stream, stated, F.col("received_us"), ["index_name"], spec, f"{at}/state", f"{at}/checkpoint", once=True).awaitTermination()
+    return PaneStore(spark, f"{at}/state", {"index_name": "string"}, spec).current().select("index_name", F.col("window_us").alias("period_us"), "n")
+
+
 def _host_names(spark, d):
     return table(spark, d, "wire_event").groupBy(host_key(F.col("host")).alias("host")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -319,6 +351,14 @@ WHEN regexp_matches(n, 'error.*log|error_log') THEN 'error_log' WHEN n LIKE '%.j
 FROM (SELECT lower(list_last(string_split(source, '/'))) AS n FROM wire_event WHERE source IS NOT NULL) GROUP BY 1""",
     ),
     "bytes_text": (_bytes_text, "SELECT segment_id, CASE WHEN size_bytes < 1024 THEN CAST(size_bytes AS VARCHAR) || ' B' WHEN size_bytes < 1048576 THEN printf('%.1f KB', size_bytes / 1024.0::DOUBLE) WHEN size_bytes < 1073741824 THEN printf('%.1f MB', size_bytes / 1048576.0::DOUBLE) WHEN size_bytes IS NOT NULL THEN printf('%.1f GB', size_bytes / 1073741824.0::DOUBLE) END AS size FROM segment_meta"),
+    "timechart_filled": (
+        _timechart_filled,
+        _W + """, c AS (SELECT date_trunc('hour', _time) AS b, count(*) AS n FROM e WHERE host = 'host-3' AND source = 'error' GROUP BY 1),
+r AS (SELECT unnest(generate_series(min(b), max(b), INTERVAL 1 HOUR)) AS b FROM c) SELECT strftime(r.b, '%Y-%m-%d %H:%M:%S') AS bucket, coalesce(n, 0) AS count FROM r LEFT JOIN c USING (b)""",
+    ),
+    "line_breaks": (_line_breaks, "SELECT doc_id, count(*) AS n_lines FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\\r?\\n')) AS l FROM documents WHERE text IS NOT NULL) WHERE trim(l) <> '' GROUP BY 1"),
+    "postings_search": (_postings_search, f"SELECT doc_id AS _id FROM documents WHERE list_contains({_TOKENS}, 'journal') AND list_contains({_TOKENS}, 'queue')"),
+    "stream_panes": (_stream_panes, "SELECT index_name, period_us, n FROM (" + core_sql["p1_hourly_counts"] + ") WHERE n > 0"),
     "host_names": (_host_names, f"SELECT {_HOST.format('host')} AS host, count(*) AS n FROM wire_event GROUP BY 1"),
     "rules_single_scan": (
         _rules_single_scan,

@@ -138,3 +138,12 @@ def test_stored_notables(spark, rows):
     assert [r.row_id for r in notables.page(n, severity="HIGH").collect()] == [2, 1]
     assert rows(notables.throttled(n), "row_id") == [(1,), (3,)]
     assert rows(notables.capped(n, 2), "row_id") == [(3,), (4,)]
+
+
+def test_metrics_and_tags(engine):
+    engine.execute("search index=main | head 1", tag="t1")
+    engine.cancel("t1")
+    text = engine.metrics.text()
+    assert "tailrace_events_total 20" in text and "tailrace_queries_total" in text and 'tailrace_query_ms_bucket{le="+Inf"}' in text
+    engine.metrics.set("open", 3)
+    assert "# TYPE tailrace_open gauge" in engine.metrics.text()
