@@ -81,7 +81,6 @@ def _grammar() -> list[Rule]:
     """Header layouts.  A recognised time counts 10, level 3, writer 3, text 1."""
     rules = [
         # header layouts of plain lines
-        _r("entry", "sys", 0.0),
         _r("entry", f"PRI MON W tag {ANY}", 14.0, pri=0, time=1, text=4),
         _r("entry", f"MON W tag {ANY}", 11.0, time=0, text=3),
         _r("entry", f"PRI MON W {ANY}", 11.0, pri=0, time=1, text=3),
@@ -153,8 +152,11 @@ def _grammar() -> list[Rule]:
         _r("member", "jO list", 0.1),
         _r("list", "[ ]"),
         _r("list", "[ elements ]"),
-        _r("elements", "scalar"),
-        _r("elements", "scalar , elements"),
+        _r("elements", "element"),
+        _r("elements", "element , elements"),
+        _r("element", "scalar"),
+        _r("element", "object"),
+        _r("element", "list"),
         _r("moment", "ISO", 10.0, time=0),
         _r("moment", "qISO", 10.0, time=0),
         _r("moment", "EPOCH", 10.0, time=0),
@@ -170,7 +172,7 @@ def _grammar() -> list[Rule]:
     ]
     rules += [_r("said", t, 1.0, text=0) for t in ("Q", "qLVL", "qISO", "qEPOCH", "W", "LVL")]
     rules += [_r("scalar", t) for t in ("W", "Q", "LVL", "qLVL", "qISO", "qEPOCH", "ISO", "EPOCH", "ZONE")]
-    return [r for r in rules if r.right != ("sys",)]
+    return rules
 
 
 GRAMMAR = _grammar()

@@ -115,6 +115,7 @@ def test_earley_keeps_the_best_parse_and_shares_prefixes():
         ("09.03.2024 07:52:05;vaultkeep;INFO;m", "09.03.2024 07:52:05", "INFO", "vaultkeep"),
         ('{"message":"f","svc":"edge-gate","time":"2024-04-03T04:39:33.131691418+00:00"}', "2024-04-03T04:39:33.131691418+00:00", "", "edge-gate"),
         ('{"ts":1710084447.086657,"log":{"level":"E","logger":"a"},"msg":"c"}', "1710084447.086657", "ERROR", "a"),
+        ('{"x": [{"y": [1, []]}, {"z": null}], "ts":"2024-04-03T04:39:33Z", "lvl":"warn"}', "2024-04-03T04:39:33Z", "WARN", ""),
         ('{"n": 5, "x": [1, "a"], "ts":"2024-04-03T04:39:33Z", "lvl":"odd"}', "2024-04-03T04:39:33Z", "", ""),
         ("\tat net.kelvo.store.Flush.write(Flush.java:474)", None, "", ""),
         ("Traceback (most recent call last):", None, "", ""),
