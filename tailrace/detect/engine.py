@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from tailrace.detect.conditions import met
 from tailrace.detect.notables import NotableStore, notable
 from tailrace.detect.rules import BUILTIN, Rule
-from tailrace.functions.text import ascii_lower
 from tailrace.lang import ast
 from tailrace.lang.parser import parse
 from tailrace.plans.catalog import Catalog
@@ -76,8 +75,8 @@ def single_scan(catalog: Catalog, rules: Iterable[Rule], indexes: tuple[str, ...
     Each rule is one counted condition of a single aggregation; rules whose
     query isn't a search followed by a count by host are refused.
     """
-    # the texts are folded once for all conditions
-    events = catalog.load(indexes).withColumns({"__folded": ascii_lower(F.col("_raw")), "__lowered": F.lower("_raw")})
+    # the texts are lowered once for all conditions
+    events = catalog.load(indexes).withColumn("__lowered", F.lower("_raw"))
     scope = Scope(events)
     counts, ids = [], []
     for rule in rules:

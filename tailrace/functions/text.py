@@ -15,7 +15,8 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 def ascii_lower(text: Column) -> Column:
     """Lower case of A-Z only; other letters are left as they are."""
-    return F.translate(text, _UPPER, _UPPER.lower())
+    plain = F.octet_length(text) == F.length(text)  # without other letters the built-in form is the same, and faster
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))
 
 
 def tokens(text: Column) -> Column:
@@ -23,21 +24,20 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(text), _SPLIT + "+"), lambda t: F.octet_length(t) >= 2)
 
 
-def has_token(text: Column, term: str, folded: Column | None = None) -> Column:
+def has_token(text: Column, term: str, lowered: Column | None = None) -> Column:
     """Whether a token equals ``term`` (A-Z in any case); ``*`` stands for any part of
     a token, alone for every text.  A term that itself holds delimiters must be
-    found whole, between delimiters.  ``folded`` is the text in lower case, where
+    found whole, between delimiters.  ``lowered`` is the text in lower case, where
     it is at hand."""
-    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in term)
-    if set(low) == {"*"}:
+    if set(term) == {"*"}:
         return F.lit(True)
-    pieces = [re.escape(p) for p in low.split("*")]
     inside = "[^\\s" + re.escape(DELIMITERS) + "]*"
-    pattern = f"(?:^|{_SPLIT}){inside.join(pieces)}(?:$|{_SPLIT})"
-    folded = ascii_lower(text) if folded is None else folded
-    longest = max(low.split("*"), key=len)
-    # the plain search spares most rows the pattern
-    return F.coalesce(folded.contains(longest) & folded.rlike(pattern), F.lit(False))
+    # without further flags this takes A-Z in any case, and no other letters
+    hit = text.rlike(f"(?i)(?:^|{_SPLIT}){inside.join(re.escape(p) for p in term.split('*'))}(?:$|{_SPLIT})")
+    longest = max(term.split("*"), key=len)
+    if longest.isascii():  # a plain search spares most rows the pattern
+        hit = (F.lower(text) if lowered is None else lowered).contains(longest.lower()) & hit
+    return F.coalesce(hit, F.lit(False))
 
 
 def has_phrase(text: Column, phrase: str, lowered: Column | None = None) -> Column:
@@ -55,10 +55,12 @@ def extracted(raw: Column, name: str) -> Column:
     object, else the last ``name=value`` in it (quoted, or up to a blank, comma or
     semicolon); null if there is none."""
     key = re.escape(name)
-    pair = F.regexp_extract(raw, rf'(?s)^.*(?:^|[\s,;({{\[|]){key}=("[^"]*"|[^\s,;]+)', 1)
-    value = F.nullif(F.regexp_replace(pair, '^"|"$', ""), F.lit(""))
+    found = F.regexp_extract(raw, rf'(?s)^.*(?:^|[\s,;({{\[|]){key}=("[^"]*"|[^\s,;]+)', 1)
+    # most texts don't hold the name at all
+    value = F.when(raw.contains(f"{name}="), F.nullif(F.regexp_replace(found, '^"|"$', ""), F.lit("")))
     path = "$['" + name.replace("'", "") + "']"
-    return F.when(F.ltrim(raw).startswith("{"), F.get_json_object(raw, path)).otherwise(value)
+    member = F.when(raw.contains(f'"{name}"'), F.get_json_object(raw, path))
+    return F.when(F.ltrim(raw).startswith("{"), member).otherwise(value)
 
 
 def extract_map(raw: Column) -> Column:

@@ -154,7 +154,7 @@ def condition_of(e: object, scope: Scope, two_valued: bool = True) -> Column:
     if isinstance(e, ast.Like):
         return done(F.like(text(value_of(e.operand, scope)), text(value_of(e.pattern, scope))))
     if isinstance(e, ast.Term):
-        return has_token(text(scope.field("_raw")), e.text, F.col("__folded") if "__folded" in scope.types else None)
+        return has_token(text(scope.field("_raw")), e.text, F.col("__lowered") if "__lowered" in scope.types else None)
     if isinstance(e, ast.Phrase):
         return has_phrase(text(scope.field("_raw")), e.text, F.col("__lowered") if "__lowered" in scope.types else None)
     if isinstance(e, ast.Match):
