@@ -30,6 +30,8 @@ class PaneSpec:
         self.cutoff_us = cutoff_us
         self.tick_us = tick_us
         self.pane_us = gcd(self.size_us, self.slide_us)
+        # lateness rounded down to this changes neither fate nor tick of any window
+        self.step_us = gcd(self.pane_us, self.grace_us, self.cutoff_us, self.tick_us)
 
 
 def pane_of(event_us: Column, pane_us: int) -> Column:
@@ -39,9 +41,10 @@ def pane_of(event_us: Column, pane_us: int) -> Column:
 def assign(rows: DataFrame, event_us: Column, received_us: Column, spec: PaneSpec) -> DataFrame:
     """Adds ``event_us``, ``pane_us``, ``lateness_us`` (receipt after the pane's end) and ``fate``.
 
-    ``fate``: 'first' (in the first emission), 'corrects' (re-emits the pane's
-    windows) or 'dropped' (past the cut-off).  All three are null for rows
-    without an event time; ``fate`` is 'first' for rows without a receipt.
+    ``fate`` is that of the pane taken as a window of its own: 'first' (in the
+    first emission), 'corrects' (re-emits it) or 'dropped' (past the cut-off).
+    Longer windows end later, see :func:`window_ticks`.  All three are null for
+    rows without an event time; ``fate`` is 'first' for rows without a receipt.
     """
     pane = pane_of(F.col("event_us"), spec.pane_us)
     late = F.col("lateness_us")
@@ -81,14 +84,47 @@ def windows_of(panes: DataFrame, spec: PaneSpec) -> DataFrame:
     return panes.withColumn("window_us", F.explode(starts)).filter(F.col("pane_us") + spec.pane_us <= F.col("window_us") + spec.size_us)
 
 
+def receipt_counts(assigned: DataFrame, keys: list[str], spec: PaneSpec) -> DataFrame:
+    """(keys, pane_us, late_us, n): how many rows of each pane were received how late.
+
+    ``late_us`` is the lateness against the pane's end in whole steps, null for
+    rows in the first emission of every window, and no more than the value that
+    is past the cut-off of every window; so a pane has a bounded number of rows.
+    """
+    late = F.col("lateness_us")
+    steps = F.least(late - F.pmod(late, F.lit(spec.step_us)), F.lit(spec.cutoff_us + spec.size_us - spec.pane_us))
+    return assigned.filter("event_us is not null").groupBy(*keys, "pane_us", F.when(late >= spec.grace_us, steps).alias("late_us")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def window_ticks(receipts: DataFrame, spec: PaneSpec) -> DataFrame:
+    """:func:`receipt_counts` repeated for each window over the pane, with the ``tick``
+    in which the rows enter that window: counted from the window's end, 0 in its
+    first emission and -1 past its cut-off."""
+    late = F.col("late_us") - (F.col("window_us") + spec.size_us - F.col("pane_us") - spec.pane_us)
+    tick = F.when(late >= spec.cutoff_us, -1).when(late >= spec.grace_us, F.call_function("div", late, F.lit(spec.tick_us)) + 1).otherwise(0)
+    return windows_of(receipts, spec).withColumn("tick", tick.cast("int"))
+
+
+def window_emissions(assigned: DataFrame, keys: list[str], spec: PaneSpec) -> DataFrame:
+    """:func:`emissions` with grace, ticks and cut-off counted from the end of each
+    window: a row is dropped only for the windows whose own cut-off it missed."""
+    return _versions(window_ticks(receipt_counts(assigned, keys, spec), spec).filter("tick >= 0"), keys)
+
+
 def emissions(panes: DataFrame, keys: list[str], spec: PaneSpec) -> DataFrame:
-    """(keys, window_us, version, tick, n_added, n): every emission of every window.
+    """(keys, window_us, version, tick, n_added, n): every emission of every window,
+    with the ticks of its panes; for windows longer than a pane
+    :func:`window_emissions` counts from the window's end.
 
     Version 0 is the first; each later tick with corrections gives one more,
     with the corrected count ``n``.  There are at most cutoff/tick versions of
     a window.
     """
-    per = windows_of(panes.filter("tick >= 0"), spec).groupBy(*keys, "window_us", "tick").agg(F.sum("n").alias("n_added"))
+    return _versions(windows_of(panes.filter("tick >= 0"), spec), keys)
+
+
+def _versions(ticks: DataFrame, keys: list[str]) -> DataFrame:
+    per = ticks.groupBy(*keys, "window_us", "tick").agg(F.sum("n").alias("n_added"))
     w = Window.partitionBy(*keys, "window_us").orderBy("tick")
     return per.select(*keys, "window_us", (F.row_number().over(w) - 1).alias("version"), "tick", "n_added", F.sum("n_added").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("n"))
 

@@ -23,11 +23,19 @@ def _p1_hourly_counts(spark, d):
 
 
 def _p1_emissions(spark, d):
-    """Windows of three hours each hour, with every corrected emission."""
+    """Windows of three hours each hour, with every corrected emission; lateness is
+    counted from the end of the row's hour."""
     spec = panes.PaneSpec(size_us=3 * panes.HOUR_US, slide_us=panes.HOUR_US)
     return panes.emissions(panes.pane_counts(panes.assign_ingest(table(spark, d, "ingest_event"), spec), ["index_name"], spec), ["index_name"], spec)
 
 
+def _p1_window_emissions(spark, d):
+    """Windows of three hours each hour, with every corrected emission; lateness is
+    counted from the end of each window."""
+    spec = panes.PaneSpec(size_us=3 * panes.HOUR_US, slide_us=panes.HOUR_US)
+    return panes.window_emissions(panes.assign_ingest(table(spark, d, "ingest_event"), spec), ["index_name"], spec)
+
+
 def _p1_segment_ranges(spark, d):
     return panes.segment_ranges(table(spark, d, "ingest_event"), table(spark, d, "segment_meta"))
 
@@ -64,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "p1_found": _p1_found,
     "p1_hourly_counts": _p1_hourly_counts,
     "p1_emissions": _p1_emissions,
+    "p1_window_emissions": _p1_window_emissions,
     "p1_segment_ranges": _p1_segment_ranges,
     "p2_found": _p2_found,
     "p2_entries": _p2_entries,
@@ -88,6 +97,11 @@ CAST(count(*) FILTER (coalesce(late, 0) < 43200000000) AS BIGINT) AS n FROM a GR
     "p1_emissions": f"""WITH {_TIMED}, p AS (SELECT index_name, period_us, CASE WHEN coalesce(late, 0) < 600000000 THEN 0 ELSE late // 3600000000 + 1 END AS tick FROM a WHERE coalesce(late, 0) < 43200000000),
 w AS (SELECT index_name, period_us - k * 3600000000 AS window_us, tick, count(*) AS n_added FROM p, (VALUES (0), (1), (2)) AS s(k) GROUP BY 1, 2, 3)
 SELECT index_name, window_us, CAST(row_number() OVER o - 1 AS INTEGER) AS version, CAST(tick AS INTEGER) AS tick, CAST(n_added AS BIGINT) AS n_added, CAST(sum(n_added) OVER o AS BIGINT) AS n
+FROM w WINDOW o AS (PARTITION BY index_name, window_us ORDER BY tick)""",
+    "p1_window_emissions": f"""WITH {_TIMED}, s AS (SELECT index_name, received_us, period_us - k * 3600000000 AS window_us FROM a, (VALUES (0), (1), (2)) AS v(k)),
+l AS (SELECT index_name, window_us, coalesce(received_us - window_us - 10800000000, 0) AS late FROM s),
+w AS (SELECT index_name, window_us, CASE WHEN late < 600000000 THEN 0 ELSE late // 3600000000 + 1 END AS tick, count(*) AS n_added FROM l WHERE late < 43200000000 GROUP BY 1, 2, 3)
+SELECT index_name, window_us, CAST(row_number() OVER o - 1 AS INTEGER) AS version, CAST(tick AS INTEGER) AS tick, CAST(n_added AS BIGINT) AS n_added, CAST(sum(n_added) OVER o AS BIGINT) AS n
 FROM w WINDOW o AS (PARTITION BY index_name, window_us ORDER BY tick)""",
     "p1_segment_ranges": f"""WITH t AS (SELECT segment_id, CASE WHEN timestamp_us <> 0 THEN {_MICROS} END AS us FROM ingest_event),
 r AS (SELECT segment_id, min(us) AS lo, max(us) AS hi, count(*) AS n FROM t GROUP BY 1)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tailrace.operators.panes import PaneSpec, assign, windows_of
+from tailrace.operators.panes import PaneSpec, assign, receipt_counts, window_ticks
 
 
 class PaneStore:
@@ -25,23 +25,22 @@ class PaneStore:
         return ", ".join(f"`{k}` {t}" for k, t in self.keys.items()) + ", " + more
 
     def panes(self) -> DataFrame:
-        schema = self._schema("pane_us bigint, n bigint, batch bigint")
+        schema = self._schema("pane_us bigint, late_us bigint, n bigint, batch bigint")
         try:
             df = self.spark.read.schema(schema).parquet(f"{self.path}/panes")
         except Exception as e:  # nothing written yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             df = self.spark.createDataFrame([], schema)
-        return df.groupBy(*self.keys, "pane_us").agg(F.sum("n").alias("n"))
+        return df.groupBy(*self.keys, "pane_us", "late_us").agg(F.sum("n").alias("n"))
 
     def take(self, assigned: DataFrame, batch: int) -> None:
-        """Adds one batch: dropped rows are left out, changed panes written, the
-        windows over them emitted."""
-        changed = assigned.filter("fate in ('first', 'corrects')").groupBy(*self.keys, "pane_us").agg(F.count(F.lit(1)).alias("n"))
-        changed.write.mode("overwrite").parquet(f"{self.path}/panes/batch={batch}")
-        touched = self.spark.read.schema(self._schema("pane_us bigint, n bigint")).parquet(f"{self.path}/panes/batch={batch}")
-        windows = windows_of(touched, self.spec).select(*self.keys, "window_us").distinct()
-        every = windows_of(self.panes(), self.spec)
+        """Adds one batch: changed panes are written, the windows over them whose
+        cut-off its rows kept are emitted."""
+        receipt_counts(assigned, list(self.keys), self.spec).write.mode("overwrite").parquet(f"{self.path}/panes/batch={batch}")
+        touched = self.spark.read.schema(self._schema("pane_us bigint, late_us bigint, n bigint")).parquet(f"{self.path}/panes/batch={batch}")
+        windows = window_ticks(touched, self.spec).filter("tick >= 0").select(*self.keys, "window_us").distinct()
+        every = window_ticks(self.panes(), self.spec).filter("tick >= 0")
         again = every.join(windows, [*self.keys, "window_us"], "left_semi") if self.keys else every.join(windows, "window_us", "left_semi")
         again.groupBy(*self.keys, "window_us").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{self.path}/emitted/batch={batch}")
 

@@ -65,6 +65,29 @@ def test_p1_emissions_count_up(spark, rows):
     assert got == [(0, 0, 1, 1), (1, 2, 2, 3), (2, 9, 1, 4)]
 
 
+def test_p1_lateness_counts_from_the_end_of_each_window(spark, rows):
+    minute = panes.MINUTE_US
+    spec = panes.PaneSpec(size_us=3 * HOUR, slide_us=2 * HOUR, grace_us=25 * minute, cutoff_us=5 * HOUR, tick_us=45 * minute)
+    late = [None, -HOUR, 0, 25 * minute - 1, 25 * minute, 45 * minute, 3 * HOUR + 7, 5 * HOUR - 1, 5 * HOUR, 6 * HOUR + 24 * minute, 7 * HOUR - 1, 7 * HOUR, 99 * HOUR]
+    data = [(k, None if x is None else T0 + (t + 1) * HOUR + x, T0 + t * HOUR + k, "a", "s") for t in range(4) for k, x in enumerate(late)]
+    added = {}
+    for _, received, event, *_ in data:
+        w = event // spec.slide_us * spec.slide_us
+        while w + spec.size_us > event:
+            x = 0 if received is None else received - w - spec.size_us
+            if x < spec.cutoff_us:
+                key = (w, 0 if x < spec.grace_us else x // spec.tick_us + 1)
+                added[key] = added.get(key, 0) + 1
+            w -= spec.slide_us
+    got = panes.window_emissions(panes.assign_ingest(ingest(spark, data), spec), ["index_name"], spec)
+    assert {(r.window_us, r.tick): r.n_added for r in got.collect()} == added
+    assert all(r.n == sum(n for (w, t), n in added.items() if w == r.window_us and t <= r.tick) for r in got.collect())
+    # 12 h after the end of its hour, a row is still in time for the window that ends two hours later
+    spec = panes.PaneSpec(size_us=3 * HOUR, slide_us=HOUR)
+    got = rows(panes.window_emissions(panes.assign_ingest(ingest(spark, [(1, T0 + 13 * HOUR, T0, "a", "s")]), spec), [], spec))
+    assert got == [(T0 - HOUR, 0, 12, 1, 1), (T0, 0, 11, 1, 1)]
+
+
 def test_p1_segments_and_empty(spark, rows):
     seg = spark.createDataFrame([("s", T0, T0 + 5), ("t", 0, None), ("u", 1, 2)], "segment_id string, earliest_time long, latest_time long")
     data = [(1, T0, T0, "a", "s"), (2, T0, T0 + 5, "a", "s"), (3, T0, None, "a", "s")]

@@ -46,6 +46,15 @@ def test_panes_over_a_stream_equal_the_batch(spark, tmp_path, rows):
     assert rows(store.current()) == before
 
 
+def test_stream_keeps_late_rows_for_windows_inside_their_cutoff(spark, tmp_path, rows):
+    spec = panes.PaneSpec(size_us=3 * HOUR, slide_us=HOUR)
+    store = PaneStore(spark, str(tmp_path / "state"), {"index_name": "string"}, spec)
+    for batch, late in enumerate((0, 12, 13, 14)):
+        df = spark.createDataFrame([(batch, T0 + (1 + late) * HOUR, T0, "a")], SCHEMA)
+        store.take(panes.assign(df, F.col("timestamp_us"), F.col("received_us"), spec), batch)
+    assert rows(store.current()) == [("a", T0 - 2 * HOUR, 1), ("a", T0 - HOUR, 2), ("a", T0, 3)]
+
+
 def test_watermarked_counts_and_repeats(spark, tmp_path):
     src = str(tmp_path / "in")
     t = datetime(2024, 1, 1)
