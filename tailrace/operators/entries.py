@@ -54,10 +54,15 @@ def parse_lines(rows: DataFrame, raw: str = "raw", keep: list[str] | None = None
     return _parsed(rows.select(*(keep or []), raw), raw, True)
 
 
-def _segments(wire: DataFrame) -> DataFrame:
+def _segments(wire: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Runs of rows of one entry within a block: (batch, host, source, block, entry,
     first/last position and delivery, lvl, component, bare).  ``entry`` is null for
-    rows that go on with an entry of an earlier block, or with none."""
+    rows that go on with an entry of an earlier block, or with none.
+
+    With ``keep`` also these columns, time_text and message of the first row, and
+    ``texts`` (pos, delivery_id, text) of the rows that begin nothing."""
+    full = keep is not None
+    keep = keep or []
     lines = wire.filter(F.trim(F.regexp_replace("raw", r"\s+", " ")) != "").select(
         "delivery_id",
         F.coalesce("batch_id", F.lit(-1)).alias("b"),
@@ -65,19 +70,26 @@ def _segments(wire: DataFrame) -> DataFrame:
         F.coalesce(F.concat(F.lit("="), host_key(F.col("host"))), F.lit("")).alias("h"),
         F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("s"),
         F.col("fields").isNull().alias("bare"),
+        *[F.col(c).alias(f"keep_{c}") for c in keep],
         "raw",
     )
     # text that is blank in a wider sense has no level, not even an empty one
-    rows = _parsed(lines, "raw", False).filter("lvl is not null").withColumn("block", F.call_function("div", F.col("pos"), F.lit(BLOCK)))
+    rows = _parsed(lines, "raw", full).filter("lvl is not null").withColumn("block", F.call_function("div", F.col("pos"), F.lit(BLOCK)))
     w = Window.partitionBy("b", "h", "s", "block").orderBy("pos", "delivery_id").rowsBetween(Window.unboundedPreceding, 0)
     run = rows.withColumn("entry", F.last(F.when(F.col("begins"), F.col("delivery_id")), ignorenulls=True).over(w))
     at = F.struct("pos", "delivery_id")
+    own = lambda c: F.max(F.when(F.col("begins"), F.col(c)))
+    more = []
+    if full:
+        text = F.when(~F.col("begins"), F.struct("pos", "delivery_id", F.col("unparsed").alias("text")))
+        more = [own("time_text").alias("time_text"), own("message").alias("message"), *[own(f"keep_{c}").alias(c) for c in keep], F.collect_list(text).alias("texts")]
     return run.groupBy("b", "h", "s", "block", "entry").agg(
         F.min(at).alias("first"),
         F.max(at).alias("last"),
-        F.max(F.when(F.col("begins"), F.col("lvl"))).alias("lvl"),
-        F.max(F.when(F.col("begins"), F.col("component"))).alias("component"),
-        F.max(F.when(F.col("begins"), F.col("bare"))).alias("bare"),
+        own("lvl").alias("lvl"),
+        own("component").alias("component"),
+        own("bare").alias("bare"),
+        *more,
     )
 
 
@@ -115,6 +127,39 @@ def assemble(wire: DataFrame) -> DataFrame:
     )
 
 
+def records(wire: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Entries with all their text: (delivery_id, last_delivery_id, ``keep`` of the
+    first row, time_text, lvl, component, message, unparsed), entries as in
+    :func:`assemble`.
+
+    ``message`` is that of the first row and below it, line by line, the text of
+    the rows that go on with the entry.  A row that belongs to no entry is put
+    out by itself, with its text in ``unparsed`` and null in the other fields.
+    """
+    keep = keep or []
+    segments = saved(_segments(wire, keep), "records")
+    keys = ["b", "h", "s"]
+    begun = segments.filter("entry is not null")
+    loose = segments.filter("entry is null").select(*keys, "block", "texts")
+    # what a block begins with goes on with the last entry of the nearest block before it
+    heads = begun.groupBy(*keys, F.col("block").alias("h_block")).agg(F.max_by("entry", "first").alias("open"))
+    opened = loose.select(*keys, "block").join(heads, keys).filter("h_block < block").groupBy(*keys, "block").agg(F.max_by("open", "h_block").alias("open"))
+    loose = loose.join(opened, [*keys, "block"], "left")
+    carried = loose.filter("open is not null").groupBy(F.col("open").alias("entry")).agg(F.flatten(F.collect_list("texts")).alias("carried"))
+    texts = F.array_sort(F.concat("texts", F.coalesce("carried", F.array().cast(loose.schema["texts"].dataType))))
+    whole = begun.join(carried, "entry", "left").withColumn("texts", texts)
+    several = F.size("texts") > 0
+    entries = whole.select(
+        F.col("entry").alias("delivery_id"),
+        F.when(several, F.element_at("texts", -1).getField("delivery_id")).otherwise(F.col("entry")).alias("last_delivery_id"),
+        *keep, "time_text", "lvl", "component",
+        F.when(several, F.concat_ws("\n", "message", F.col("texts.text"))).otherwise(F.col("message")).alias("message"),
+        F.lit(None).cast("string").alias("unparsed"),
+    )
+    alone = loose.filter("open is null").select(F.explode("texts").alias("t")).select(F.col("t.delivery_id").alias("delivery_id"), F.col("t.delivery_id").alias("last_delivery_id"), F.col("t.text").alias("unparsed"))
+    return entries.unionByName(alone, allowMissingColumns=True)
+
+
 def found(wire: DataFrame) -> DataFrame:
     """Entries whose first row has null ``fields``, with the level and writer read from the text."""
     return assemble(wire).filter("bare").drop("bare")

@@ -45,11 +45,12 @@ def _p2_found(spark, d):
 
 
 def _p2_entries(spark, d):
-    """Every parsed row with its fields, the written time as an instant."""
+    """Every entry with its fields and whole message, the written time as an instant;
+    rows that belong to no entry with their text as ``unparsed``."""
     wire = table(spark, d, "wire_event").withColumn("received_us", F.unix_micros(F.col("received_at").cast("timestamp")))
-    parsed = entries.parse_lines(wire, "raw", ["delivery_id", "host", "received_us"]).filter("begins")
-    timed = instants.normalise_written_times(parsed, table(spark, d, "asset"), "time_text", "host", "received_us")
-    return timed.select("delivery_id", F.col("written_us").alias("event_us"), "lvl", "component", "message")
+    whole = entries.records(wire, ["host", "received_us"])
+    timed = instants.normalise_written_times(whole, table(spark, d, "asset"), "time_text", "host", "received_us")
+    return timed.select("delivery_id", F.col("written_us").alias("event_us"), "lvl", "component", "message", "unparsed")
 
 
 def _p4_found(spark, d):

@@ -191,6 +191,23 @@ def test_p2_entries_by_batch_host_and_source(spark, rows, monkeypatch, block):
     assert got == [(12, 13, "INFO", "net.Flush"), (2, 8, "INFO", "net.Flush")]
 
 
+@pytest.mark.parametrize("block", [entries.BLOCK, 2, 1])
+def test_p2_records_hold_all_text(spark, rows, monkeypatch, block):
+    monkeypatch.setattr(entries, "BLOCK", block)
+    got = rows(entries.records(wire(spark, P2), ["host"]), "delivery_id", "last_delivery_id", "host", "lvl", "message", "unparsed")
+    expect = [
+        (1, 1, None, None, None, " more of nothing"),
+        (2, 8, "h", "INFO", "m\nmore\nstill more", None),
+        (3, 3, None, None, None, "other host"),
+        (7, 7, None, None, None, "more"),
+        (9, 10, "h", "", "[w-27] x  net.Flush - m\nof the one with fields", None),
+        (11, 11, None, None, None, "other batch"),
+        (12, 13, None, "INFO", "m\nnull equals null", None),
+    ]
+    assert got == sorted(expect, key=repr)
+    assert rows(entries.records(wire(spark, []))) == []
+
+
 def test_p2_empty_and_full_parse(spark, rows):
     assert rows(entries.found(wire(spark, []))) == []
     got = rows(entries.parse_lines(wire(spark, P2[:3]), "raw", ["delivery_id"]), "delivery_id", "begins", "message", "unparsed")
