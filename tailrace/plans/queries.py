@@ -117,6 +117,10 @@ PIPED: dict[str, tuple[str, str]] = {
         'search index=events | where user_id < 5 | stats list(event_type) AS kinds by host | eval kinds = mvjoin(kinds, ",")',
         _W + "SELECT host, string_agg(event_type, ',' ORDER BY _time, _id) AS kinds FROM e WHERE user_id < 5 GROUP BY 1",
     ),
+    "stats_list_users": (
+        'search index=events | stats list(event_type) AS kinds by user_id | eval kinds = mvjoin(kinds, ",")',
+        _W + "SELECT user_id, string_agg(event_type, ',' ORDER BY _time, _id) AS kinds FROM e GROUP BY 1",
+    ),
     "stats_first_last": ("search index=events | stats first(event_type) AS a, last(event_type) AS z by host", _W + "SELECT host, arg_min(event_type, (_time, _id)) AS a, arg_max(event_type, (_time, _id)) AS z FROM e GROUP BY 1"),
     "stats_multi_key": ("search index=events | stats count, dc(user_id) AS users by host, source", _W + "SELECT host, source, count(*) AS count, count(DISTINCT user_id) AS users FROM e GROUP BY 1, 2"),
     "stats_null_group": ("search index=documents | stats count by lang", "SELECT lang, count(*) AS count FROM documents GROUP BY 1"),

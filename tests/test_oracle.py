@@ -64,3 +64,8 @@ def test_p2_entries_hold_every_row_once(spark):
     glued = [text for k, text in rest.items() if k not in alone]
     # every text brings a line break of its own, unless the first row has no message
     assert sum(len(r.message or "") for r in entry) - first in range(sum(map(len, glued)), sum(len(t) + 1 for t in glued) + 1)
+
+
+def test_list_takes_every_event(spark):
+    got = piped.QUERIES["stats_list_users"](spark, str(DATA)).collect()
+    assert sum(r.kinds.count(",") + 1 for r in got) == table(spark, str(DATA), "events").filter("event_type is not null").count()
