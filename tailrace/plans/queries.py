@@ -195,11 +195,16 @@ def _tokens(spark, d):
     return table(spark, d, "documents").filter("text is not null").select(F.explode(tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _index_stats(spark, d):
-    e = catalog(spark, d).load(("events", "documents"))
+def _index_stats(spark, d, indexes=("events", "documents")):
+    e = catalog(spark, d).load(indexes)
     return e.groupBy("index").agg(F.count(F.lit(1)).alias("total_events"), F.coalesce(F.sum(F.octet_length("_raw")), F.lit(0)).cast("bigint").alias("total_size_bytes"), F.countDistinct("host").alias("hosts"))
 
 
+def _index_stats_all(spark, d):
+    """The statistics of every registered index."""
+    return _index_stats(spark, d, ("*",))
+
+
 def _syslog_parse(spark, d):
     w = table(spark, d, "wire_event").filter("raw is not null")
     parts = syslog_fields(F.col("raw"))
@@ -346,6 +351,13 @@ OTHER: dict[str, tuple[Query, str | None]] = {
     "tokenize": (_tokens, f"SELECT token, count(*) AS n FROM (SELECT unnest({_TOKENS}) AS token FROM documents WHERE text IS NOT NULL) GROUP BY 1"),
     "posting_stats": (_posting_stats, f"SELECT count(DISTINCT token) AS term_count, count(*) AS total_postings FROM (SELECT doc_id, unnest(list_distinct({_TOKENS})) AS token FROM documents WHERE text IS NOT NULL)"),
     "index_stats": (_index_stats, _W + "SELECT 'events' AS index, count(*) AS total_events, CAST(sum(strlen(_raw)) AS BIGINT) AS total_size_bytes, count(DISTINCT host) AS hosts FROM e UNION ALL SELECT 'documents', count(*), CAST(sum(strlen(text)) AS BIGINT), 0 FROM documents"),
+    "index_stats_all": (
+        _index_stats_all,
+        _W + """SELECT 'events' AS index, count(*) AS total_events, CAST(coalesce(sum(strlen(_raw)), 0) AS BIGINT) AS total_size_bytes, count(DISTINCT host) AS hosts FROM e
+UNION ALL SELECT 'documents', count(*), CAST(coalesce(sum(strlen(text)), 0) AS BIGINT), 0 FROM documents
+UNION ALL SELECT 'main', count(*), CAST(coalesce(sum(strlen(raw)), 0) AS BIGINT), count(DISTINCT host) FROM wire_event
+UNION ALL SELECT 'notable', count(*), CAST(coalesce(sum(strlen(description)), 0) AS BIGINT), count(DISTINCT host) FROM notable""",
+    ),
     "syslog_parse": (_syslog_parse, None),
     "timestamp_extract": (_timestamp_extract, None),
     "sourcetype_detect": (

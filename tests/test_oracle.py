@@ -69,3 +69,8 @@ def test_p2_entries_hold_every_row_once(spark):
 def test_list_takes_every_event(spark):
     got = piped.QUERIES["stats_list_users"](spark, str(DATA)).collect()
     assert sum(r.kinds.count(",") + 1 for r in got) == table(spark, str(DATA), "events").filter("event_type is not null").count()
+
+
+def test_index_statistics_cover_every_index(spark):
+    got = piped.QUERIES["index_stats_all"](spark, str(DATA)).collect()
+    assert sorted(r["index"] for r in got) == piped.catalog(spark, str(DATA)).names()
