@@ -7,6 +7,7 @@ import threading
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from tailrace.detect.rules import BUILTIN, Rule
 from tailrace.lang import ast
 from tailrace.lang.parser import parse
 from tailrace.plans.catalog import Catalog
-from tailrace.plans.compile import Compiler
+from tailrace.plans.compile import Compiler, time_bound
 from tailrace.plans.expr import Scope, condition_of
 
 log = logging.getLogger(__name__)
@@ -69,22 +70,61 @@ class Detector:
             stop.wait(period)
 
 
-def single_scan(catalog: Catalog, rules: Iterable[Rule], indexes: tuple[str, ...] = ("main",)) -> DataFrame:
-    """(rule_id, host, n): matches of all rules' searches by host, from one scan.
+def matches(catalog: Catalog, rules: Iterable[Rule], indexes: tuple[str, ...] = ("main",)) -> DataFrame:
+    """(rule_id, host, n): what all rules' searches find by host, from one scan, before
+    the commands after the count.
 
-    Each rule is one counted condition of a single aggregation; rules whose
-    query isn't a search followed by a count by host are refused.
+    Each rule is one counted condition of a single aggregation, within the
+    indexes and times its search names and its ``earliest``.  Refused are rules
+    whose query isn't a search followed by a count by host and then ``where``
+    only, and rules over indexes that aren't scanned.
     """
     # the texts are lowered once for all conditions
     events = catalog.load(indexes).withColumn("__lowered", F.lower("_raw"))
     scope = Scope(events)
+    scanned = set(catalog.select(indexes))
     counts, ids = [], []
     for rule in rules:
-        commands = parse(rule.query).commands
-        if not (len(commands) >= 2 and isinstance(commands[0], ast.Search) and isinstance(commands[1], ast.Stats) and commands[1].by == ("host",)):
-            raise ValueError(f"rule {rule.id} is no search with a count by host")
-        hit = F.lit(True) if commands[0].condition is None else condition_of(commands[0].condition, scope)
+        search = _split(rule)[0]
+        names = catalog.select(search.indexes)
+        if not names or not set(names) <= scanned:
+            raise ValueError(f"rule {rule.id} searches indexes that are not scanned")
+        hit = F.lit(True) if search.condition is None else condition_of(search.condition, scope)
+        if set(names) != scanned:
+            hit = F.col("index").isin(names) & hit
+        for bound in (rule.earliest, search.earliest):
+            hit = (F.col("_time") >= time_bound(bound)) & hit if bound else hit
+        if search.latest:
+            hit = (F.col("_time") <= time_bound(search.latest)) & hit
         counts.append(F.count(F.when(hit, 1)).alias(rule.id))
         ids.append(rule.id)
     wide = events.groupBy("host").agg(*counts)
     return wide.unpivot("host", ids, "rule_id", "n").filter("n > 0").select("rule_id", "host", "n")
+
+
+def _split(rule: Rule) -> tuple[ast.Search, str, list[ast.Where]]:
+    """The search, the name of the count and the filters after it."""
+    first, *rest = parse(rule.query).commands
+    stats = rest[0] if rest else None
+    counted = isinstance(first, ast.Search) and isinstance(stats, ast.Stats) and stats.by == ("host",)
+    if not (counted and [(a.func, a.arg) for a in stats.aggregates] == [("count", None)] and all(isinstance(c, ast.Where) for c in rest[1:])):
+        raise ValueError(f"rule {rule.id} is no search with a count by host, filtered by where")
+    return first, stats.aggregates[0].name, rest[1:]
+
+
+def over_threshold(counts: DataFrame, rules: Iterable[Rule]) -> DataFrame:
+    """Rows of ``counts`` (as of :func:`matches`) that pass the ``where`` commands
+    after the count of their rule."""
+    for rule in rules:
+        _, name, filters = _split(rule)
+        if filters:
+            scope = Scope(counts.select("host", F.col("n").alias(name)), extract=False)
+            passed = reduce(lambda a, b: a & b, [condition_of(c.condition, scope) for c in filters])
+            counts = counts.withColumn(name, F.col("n")).withColumn("__kept", (F.col("rule_id") != rule.id) | passed).filter("__kept").select("rule_id", "host", "n")
+    return counts
+
+
+def single_scan(catalog: Catalog, rules: Iterable[Rule], indexes: tuple[str, ...] = ("main",)) -> DataFrame:
+    """(rule_id, host, n): the counts of :func:`matches` that pass the rest of their rule."""
+    rules = tuple(rules)
+    return over_threshold(matches(catalog, rules, indexes), rules)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tailrace.api import Engine
 from tailrace.detect import enrich, notables
 from tailrace.detect.conditions import met
-from tailrace.detect.engine import Detector, single_scan
+from tailrace.detect.engine import Detector, over_threshold, single_scan
 from tailrace.detect.rules import BUILTIN, Rule
 from tailrace.lang.errors import QueryError
 from tests.events import SAMPLE
@@ -70,6 +70,30 @@ def test_every_builtin_rule_matches_as_expected(engine):
     assert one == GOLDEN
 
 
+def test_single_scan_does_all_that_a_rule_says(engine, spark):
+    def scan(*queries, **more):
+        rules = [Rule(f"R-{k}", "", "", "low", q, **more) for k, q in enumerate(queries)]
+        return {(r.rule_id, r.host): r.n for r in single_scan(engine.catalog, rules).collect()}
+
+    by_host = "search index=main failed | stats count by host"
+    assert set(scan(by_host).values()) == {3}
+    assert scan(by_host + " | where count >= 3", by_host + " | where count >= 4", by_host.replace("count by", "count AS c by") + ' | where c > 2 | where host = "web-server-01"') == {
+        ("R-0", "dc-01.corp.local"): 3, ("R-0", "web-server-01"): 3, ("R-2", "web-server-01"): 3,
+    }
+    early, late = 'earliest="2024-01-15T10:30:01"', 'latest="2024-01-15T10:30:01"'
+    one_by_one = {q: {r["host"]: r["count"] for r in engine.execute(q).events} for q in (by_host.replace("failed", f"failed {early} {late}"), by_host.replace("failed", f"failed {early}"))}
+    for q, expect in one_by_one.items():
+        assert {h: n for (_, h), n in scan(q).items()} == expect
+    assert scan(by_host, earliest="2100-01-01T00:00:00") == {}
+    for q in (by_host.replace("main", "other"), by_host + " | head 1", "search index=main | stats dc(source) by host"):
+        with pytest.raises(ValueError):
+            scan(q)
+    # counts of batches are summed before the threshold
+    rule = BUILTIN[0]
+    summed = spark.createDataFrame([(rule.id, "a", 2), (rule.id, "b", 3), ("BF-002", "a", 1)], "rule_id string, host string, n long")
+    assert sorted(r.host for r in over_threshold(summed, BUILTIN).collect()) == ["a", "b"]
+
+
 def test_rules_fire_and_failures_are_isolated(engine):
     store = notables.NotableStore()
     d = Detector(engine.catalog, store)
