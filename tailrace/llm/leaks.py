@@ -4,11 +4,11 @@ A passage of PASSAGE consecutive words is a set of five-word shingles, and its
 MinHash is the least hash among them.  Equal passages have equal MinHashes, so
 the documents whose index of passage MinHashes meets that of an item are a
 complete set of candidates; a document's index holds about two hashes for nine
-words, as neighbouring passages share their minima.  Documents and items are
-put into partitions by size, so that a short item is compared with indexes of
-long documents on its own terms: the estimate of its containment is the share
-of its minima that the document holds.  Candidates are verified by the exact
-shingles of PASSAGE words.
+words, as neighbouring passages share their minima.  Size classes and the
+estimated containment (the share of an item's minima that a document holds) are
+only put out with the candidates: neither takes part in the search, which has
+no partitions by size.  Candidates are verified by the exact shingles of
+PASSAGE words.
 """
 
 from __future__ import annotations
@@ -73,7 +73,7 @@ def passage_minima(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def size_class(n_words: int) -> int:
-    """Partition of a text by size: texts of one class differ by less than a factor of two."""
+    """Class of a text by size: texts of one class differ by less than a factor of two."""
     return max(n_words, 1).bit_length() - 1
 
 
