@@ -119,6 +119,9 @@ def _grammar() -> list[Rule]:
         # whole-line layouts of named fields
         _r("entry", "pairs", 0.5),
         _r("entry", "object", 0.5),
+        # the same with an odd tail: what was read before it stays
+        _r("entry", f"pairs {ANY}", 0.3, tail=1),
+        _r("entry", f"{{ members {ANY}", 0.3, tail=2),
         # what is no header of its own
         _r("entry", f"TAB {ANY}", 0.2, more=1),
         _r("entry", f"{ANY}", 0.0, rest=0),
@@ -249,9 +252,15 @@ def parse_line(raw: str | None) -> Parsed | None:
             text = text or (raw[a:b].strip('"') if raw[a : a + 1] == '"' and raw[b - 1] == '"' and b - a > 1 else raw[a:])
         elif name in ("more", "rest"):
             left = raw
+        elif name == "tail":
+            left = raw[a:]
     if time is None:
-        return Parsed(None, "", "", None, left or raw, score)
-    if text is None and node.saturated and GRAMMAR[rule].right[-1] == ANY:
+        return Parsed(None, "", "", None, raw, score)
+    if GRAMMAR[rule].right[-1] != ANY:  # reading stopped at the end of what it covers
+        left = raw[spans[-1][1] :].strip() or None
+    if left is not None and text is not None and raw.endswith(text) and text.endswith(left):
+        left = None  # an unquoted text goes on to the end of the row
+    if text is None and left is None and node.saturated and GRAMMAR[rule].right[-1] == ANY:
         text = raw[spans[-1][1] :]
     if text is not None:
         text = _LEADER.sub("", text)
@@ -260,4 +269,4 @@ def parse_line(raw: str | None) -> Parsed | None:
     if level is None and pri is not None:
         level = PRIORITY_LEVELS[pri % 8]
     component = _LINE_NUMBER.sub("", _PROCESS_ID.sub("", writer or ""))
-    return Parsed(time, level or "", "" if component == "-" else component, text, None, score)
+    return Parsed(time, level or "", "" if component == "-" else component, text, left, score)

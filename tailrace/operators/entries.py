@@ -59,7 +59,7 @@ def _segments(wire: DataFrame, keep: list[str] | None = None) -> DataFrame:
     first/last position and delivery, lvl, component, bare).  ``entry`` is null for
     rows that go on with an entry of an earlier block, or with none.
 
-    With ``keep`` also these columns, time_text and message of the first row, and
+    With ``keep`` also these columns, time_text, message and unparsed of the first row, and
     ``texts`` (pos, delivery_id, text) of the rows that begin nothing."""
     full = keep is not None
     keep = keep or []
@@ -82,7 +82,7 @@ def _segments(wire: DataFrame, keep: list[str] | None = None) -> DataFrame:
     more = []
     if full:
         text = F.when(~F.col("begins"), F.struct("pos", "delivery_id", F.col("unparsed").alias("text")))
-        more = [own("time_text").alias("time_text"), own("message").alias("message"), *[own(f"keep_{c}").alias(c) for c in keep], F.collect_list(text).alias("texts")]
+        more = [own("time_text").alias("time_text"), own("message").alias("message"), own("unparsed").alias("unparsed"), *[own(f"keep_{c}").alias(c) for c in keep], F.collect_list(text).alias("texts")]
     return run.groupBy("b", "h", "s", "block", "entry").agg(
         F.min(at).alias("first"),
         F.max(at).alias("last"),
@@ -133,7 +133,8 @@ def records(wire: DataFrame, keep: list[str] | None = None) -> DataFrame:
     :func:`assemble`.
 
     ``message`` is that of the first row and below it, line by line, the text of
-    the rows that go on with the entry.  A row that belongs to no entry is put
+    the rows that go on with the entry; ``unparsed`` is what the first row's parse
+    leaves out.  A row that belongs to no entry is put
     out by itself, with its text in ``unparsed`` and null in the other fields.
     """
     keep = keep or []
@@ -154,7 +155,7 @@ def records(wire: DataFrame, keep: list[str] | None = None) -> DataFrame:
         F.when(several, F.element_at("texts", -1).getField("delivery_id")).otherwise(F.col("entry")).alias("last_delivery_id"),
         *keep, "time_text", "lvl", "component",
         F.when(several, F.concat_ws("\n", "message", F.col("texts.text"))).otherwise(F.col("message")).alias("message"),
-        F.lit(None).cast("string").alias("unparsed"),
+        "unparsed",
     )
     alone = loose.filter("open is null").select(F.explode("texts").alias("t")).select(F.col("t.delivery_id").alias("delivery_id"), F.col("t.delivery_id").alias("last_delivery_id"), F.col("t.text").alias("unparsed"))
     return entries.unionByName(alone, allowMissingColumns=True)

@@ -151,6 +151,25 @@ def test_p2_header_layouts(raw, time, level, component):
     assert (p.unparsed is None) == (time is not None)
 
 
+@pytest.mark.parametrize(
+    "raw, level, component, message, unparsed",
+    [
+        ("ts=2024-03-13T15:08:32Z level=warn app=feedpull msg=late took=(3ms) n=1", "WARN", "feedpull", "late took=(3ms) n=1", None),
+        ('ts=2024-03-13T15:08:32Z level=warn msg="late" took=(3ms) n=1', "WARN", "", "late", "took=(3ms) n=1"),
+        ("time=2024-03-13T15:08:32Z level=info app=x path=/a?b=c", "INFO", "x", None, "=c"),
+        ('ts=2024-03-13T15:08:32Z level=err msg="m" empty= more', "ERROR", "", "m", None),
+        ('ts=2024-03-13T15:08:32Z level=err msg="m" my-key=4', "ERROR", "", "m", "my-key=4"),
+        ('ts=2024-03-13T15:08:32Z level=err msg="m"\nTraceback (most recent call last):', "ERROR", "", "m", "Traceback (most recent call last):"),
+        ('{"ts":"2024-03-13T15:08:32Z","level":"warn","svc":"a","msg":"m","cut":"of', "WARN", "a", "m", ',"cut":"of'),
+        ('{"ts":"2024-03-13T15:08:32Z","level":"warn","msg":"m"} and more', "WARN", "", "m", "and more"),
+    ],
+)
+def test_p2_time_survives_an_odd_tail(raw, level, component, message, unparsed):
+    p = parse_line(raw)
+    assert p.time == "2024-03-13T15:08:32Z"
+    assert (p.level, p.component, p.message, p.unparsed) == (level, component, message, unparsed)
+
+
 def test_p2_blank_and_odd_lines():
     assert parse_line(None) is None and parse_line(" \n") is None
     for raw in ("\x00", "{" * 500, '"', "a" * 100_000, "=" * 300, "[" + "x [" * 200):

@@ -54,10 +54,10 @@ def test_p2_entries_hold_every_row_once(spark):
     wire = table(spark, str(DATA), "wire_event")
     parsed = {r.delivery_id: parse_line(r.raw) for r in wire.select("delivery_id", "raw").collect()}
     got = core.QUERIES["p2_entries"](spark, str(DATA)).collect()
-    entry = [r for r in got if r.unparsed is None]
+    entry = [r for r in got if r.lvl is not None]
     assert {r.delivery_id for r in entry} == {k for k, p in parsed.items() if p and p.time is not None} and len({r.delivery_id for r in got}) == len(got)
     # each row without a time is either by itself or in the message of an entry
-    alone = {r.delivery_id: r.unparsed for r in got if r.unparsed is not None}
+    alone = {r.delivery_id: r.unparsed for r in got if r.lvl is None}
     rest = {k: p.unparsed for k, p in parsed.items() if p and p.time is None}
     assert rest and all(rest[k] == text for k, text in alone.items())
     first = sum(len(parsed[r.delivery_id].message or "") for r in entry)
