@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tailrace.functions.instants import micros_of_number, nearest, time_text, written_instants
-from tailrace.io import host_key, scratch, small
+from tailrace.io import Commits, Taken, hadoop, host_key, scratch, small
 
 KEY = ("time_text", "zone", "receipt_year")
+#: Folders of a dictionary that are read side by side before they are written into one.
+MOST_PARTS = 16
 
 
 class TimeDictionary:
@@ -19,9 +20,11 @@ class TimeDictionary:
 
     ``update`` parses only combinations that the table lacks and adds them as a
     folder of its own; each is parsed once, however many rows and runs it occurs
-    in.  Readers take the folders that were complete when they looked: a table
-    read earlier in the same plan stays another relation than one read later.
-    Null keys never enter.
+    in.  A state of the table is the list of folders that a numbered commit
+    names; one writer only can take a number.  A writer that comes second looks
+    for what is new again, against the state of the first, so no key has two
+    rows.  When a state has MOST_PARTS folders the next update writes them into
+    one.  Null keys never enter.
     """
 
     SCHEMA = "time_text string, zone string, receipt_year int, instants array<bigint>"
@@ -29,28 +32,44 @@ class TimeDictionary:
     def __init__(self, spark, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
+        self.commits = Commits(spark, f"{self.path}/commits")
 
-    def _parts(self) -> list[str]:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(at):
-            return []
-        folders = [str(f.getPath()) for f in fs.listStatus(at) if f.isDirectory()]
-        return sorted(f for f in folders if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{f}/_SUCCESS")))
+    def parts(self) -> list[str]:
+        """Folders of the newest state."""
+        last = self.commits.last()
+        return last[1]["parts"] if last else []
+
+    def _table(self, parts: list[str]) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.path}/{p}" for p in parts])
 
     def read(self) -> DataFrame:
-        parts = self._parts()
-        return self.spark.read.schema(self.SCHEMA).parquet(*parts) if parts else self.spark.createDataFrame([], self.SCHEMA)
+        return self._table(self.parts())
+
+    def missing(self, keys: DataFrame) -> DataFrame:
+        """What of ``keys`` (columns KEY) the table lacks, each once."""
+        new = keys.select(*KEY).dropna().distinct()
+        parts = self.parts()
+        return new.join(self._table(parts), list(KEY), "left_anti") if parts else new
 
     def update(self, keys: DataFrame) -> DataFrame:
         """Adds what is new in ``keys`` (columns KEY) and returns the table."""
-        new = keys.select(*KEY).dropna().distinct()
-        if self._parts():
-            new = new.join(self.read(), list(KEY), "left_anti")
-        parsed = new.withColumn("instants", written_instants(F.col("time_text"), F.col("zone"), F.col("receipt_year")))
-        parsed.write.parquet(f"{self.path}/part-{time.time_ns():020d}-{uuid.uuid4().hex}")
-        return self.read()
+        while True:
+            last = self.commits.last()
+            number, parts = (last[0] + 1, last[1]["parts"]) if last else (1, [])
+            parsed = self.missing(keys).withColumn("instants", written_instants(F.col("time_text"), F.col("zone"), F.col("receipt_year")))
+            if len(parts) >= MOST_PARTS:
+                parsed, parts = self._table(parts).unionByName(parsed), []
+            new = f"part-{number:012d}-{uuid.uuid4().hex}"
+            parsed.write.parquet(f"{self.path}/{new}")
+            try:
+                self.commits.publish(number, {"parts": [*parts, new]})
+            except Taken:
+                at, fs = hadoop(self.spark, f"{self.path}/{new}")
+                fs.delete(at, True)
+                continue
+            return self._table([*parts, new])
 
 
 def host_zones(assets: DataFrame) -> DataFrame:
@@ -128,7 +147,10 @@ def normalise(rows: DataFrame, assets: DataFrame, dictionary: TimeDictionary | N
     return given.unionByName(written.select("table_name", "rec_id", F.col("written_us").alias("event_us"), F.lit(True).alias("repaired")))
 
 
-def found(wire: DataFrame, ingest: DataFrame, assets: DataFrame) -> DataFrame:
-    """Rows whose time was missing or in another unit, with the normalised instant."""
+def found(wire: DataFrame, ingest: DataFrame, assets: DataFrame, dictionary: TimeDictionary | None = None) -> DataFrame:
+    """Rows whose time was missing or in another unit, with the normalised instant.
+
+    Written times go through ``dictionary``; one kept from earlier runs spares
+    the parsing of what these have met."""
     rows = wire_rows(wire).unionByName(ingest_rows(ingest))
-    return normalise(rows, assets, only_repaired=True).filter(F.col("event_us").isNotNull()).select("table_name", "rec_id", "event_us")
+    return normalise(rows, assets, dictionary, only_repaired=True).filter(F.col("event_us").isNotNull()).select("table_name", "rec_id", "event_us")

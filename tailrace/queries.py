@@ -53,12 +53,20 @@ def _p2_entries(spark, d):
     return timed.select("delivery_id", F.col("written_us").alias("event_us"), "lvl", "component", "message", "unparsed")
 
 
+def kept_path(spark: SparkSession, name: str) -> str | None:
+    """Where the session wants state ``name`` kept between runs (``tailrace.state.dir``), if it says so."""
+    at = spark.conf.get("tailrace.state.dir", None)
+    return f"{at.rstrip('/')}/{name}" if at else None
+
+
 def _p4_found(spark, d):
-    return instants.found(table(spark, d, "wire_event"), table(spark, d, "ingest_event"), table(spark, d, "asset"))
+    path = kept_path(spark, "times")
+    dictionary = instants.TimeDictionary(spark, path) if path else None
+    return instants.found(table(spark, d, "wire_event"), table(spark, d, "ingest_event"), table(spark, d, "asset"), dictionary)
 
 
 def _p5_found(spark, d):
-    return merkle.found(table(spark, d, "wal_entry"), table(spark, d, "notable"), table(spark, d, "run_log"))
+    return merkle.found(table(spark, d, "wal_entry"), table(spark, d, "notable"), table(spark, d, "run_log"), kept_path(spark, "feeds"))
 
 
 def _p7_found(spark, d):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tailrace.functions.earley import ANY, Rule, WeightedEarley
 from tailrace.functions.loglines import parse_line
+from tailrace.io import Taken
 from tailrace.operators import entries, instants, merkle, once, panes
 
 HOUR = panes.HOUR_US
@@ -300,12 +301,22 @@ def test_p4_numbers_and_missing(spark, rows):
     assert rows(instants.found(wire(spark, []), i.limit(0), assets)) == []
 
 
-def test_p4_dictionary_grows_by_what_is_new(spark, tmp_path):
+def test_p4_dictionary_grows_by_what_is_new(spark, tmp_path, monkeypatch):
     d = instants.TimeDictionary(spark, str(tmp_path / "d"))
     keys = lambda *t: spark.createDataFrame([(x, "UTC", 2024) for x in t], "time_text string, zone string, receipt_year int")
     assert d.update(keys("2024-01-01 00:00:00", "2024-01-01 00:00:00", None)).count() == 1
     assert d.update(keys("2024-01-01 00:00:00", "2024-01-02 00:00:00")).count() == 2
     assert d.update(keys("2024-01-01 00:00:00")).count() == 2
+    # a writer that comes second finds the keys of the first and adds no second row
+    f, g = instants.TimeDictionary(spark, str(tmp_path / "f")), instants.TimeDictionary(spark, str(tmp_path / "f"))
+    g_missing, g.missing = g.missing, lambda k: (f.update(keys("2024-01-01 00:00:00")), k.select(*instants.KEY).distinct())[1] if not f.parts() else g_missing(k)
+    assert g.update(keys("2024-01-01 00:00:00", "2024-01-02 00:00:00")).count() == 2 and f.read().count() == 2 and len(f.parts()) == 2
+    # the folders are written into one from time to time
+    monkeypatch.setattr(instants, "MOST_PARTS", 3)
+    for day in (3, 4, 5):
+        f.update(keys(f"2024-01-{day:02d} 00:00:00"))
+    assert len(f.parts()) == 2 and f.read().count() == f.read().select(*instants.KEY).distinct().count() == 5
+    assert f.missing(keys("2024-01-04 00:00:00", "2024-02-01 00:00:00")).count() == 1
     # two states of the table in one plan stay two
     e = instants.TimeDictionary(spark, str(tmp_path / "e"))
     older, newer = e.update(keys("2024-01-01 00:00:00")), e.update(keys("2024-01-03 00:00:00"))
@@ -336,11 +347,67 @@ def test_p5_tree_finds_changed_leaves_only(spark, rows):
     assert rows(merkle.changed_leaves(was, was)) == []
 
 
-def test_p5_runs_publish_output_and_tree_together(spark, tmp_path):
-    def table(values):
-        df = spark.createDataFrame(list(values.items()), "k long, v string")
-        return merkle.records(df, F.lit("f"), F.col("k"), merkle.number_leaf(F.col("k")), [F.col("v")])
+def merkle_table(spark, values):
+    df = spark.createDataFrame(list(values.items()), "k long, v string")
+    return merkle.records(df, F.lit("f"), F.col("k"), merkle.number_leaf(F.col("k")), [F.col("v")])
+
+
+def test_p5_a_row_that_arrives_during_a_run_belongs_to_the_next(spark, tmp_path, monkeypatch):
+    src = str(tmp_path / "src")
+    merkle_table(spark, {1: "a", 2: "a"}).write.parquet(src)
+    source = lambda: spark.read.parquet(src)
+    state = merkle.MerkleState(spark, str(tmp_path / "m"))
+    keys = lambda df: sorted(int(r.rec_key) for r in df.collect())
+
+    def late(due):
+        merkle_table(spark, {3: "a"}).write.mode("append").parquet(src)
+        spark.catalog.refreshByPath(src)
+        return due
 
+    assert keys(state.run(source(), publish=late)) == [1, 2]
+    assert keys(state.run(source())) == [3]
+    assert keys(state.run(source())) == []
+
+
+def test_p5_two_writers_and_deletions(spark, tmp_path, monkeypatch):
+    keys = lambda df: sorted(int(r.rec_key) for r in df.collect())
+    one, two = (merkle.MerkleState(spark, str(tmp_path / "m")) for _ in range(2))
+    one.run(merkle_table(spark, {k: "a" for k in range(200)}))
+    values = {k: "a" for k in range(200) if k not in (2, 150)} | {7: "b"}
+
+    def meanwhile(due):
+        two.run(merkle_table(spark, values))
+        return due
+
+    with pytest.raises(Taken):
+        one.run(merkle_table(spark, values), publish=meanwhile)
+    assert one.version()[0] == 2 and keys(one.output()) == [7] and keys(one.removed()) == [2, 150]
+    assert one.vacuum() == 1
+    # records are kept by the version that changed their leaf, and together again after some versions
+    monkeypatch.setattr(merkle, "MOST_HOMES", 2)
+    for n in range(2):
+        values[7] = f"c{n}"
+        assert keys(one.run(merkle_table(spark, values))) == [7] and keys(one.removed()) == []
+    assert len(one.commits.last()[1]["homes"]) <= 2
+    assert keys(one.run(merkle_table(spark, {}))) == [] and len(keys(one.removed())) == 198
+    assert keys(one.run(merkle_table(spark, {5: "a"}))) == [5]
+
+
+def test_p5_seed_and_a_kept_state(spark, tmp_path, rows):
+    schema = ("wal_file string, sequence_number long", "id string, created_at timestamp, updated_at timestamp", "feed string, status string, committed_at timestamp, to_mark long")
+    wal = lambda top: spark.createDataFrame([("w1", n) for n in range(top)], schema[0])
+    notable, log = spark.createDataFrame([], schema[1]), spark.createDataFrame([("w1", "succeeded", datetime(2024, 1, 1), 99)], schema[2])
+    path = str(tmp_path / "feeds")
+    assert rows(merkle.found(wal(103), notable, log, path)) == [("w1", "100"), ("w1", "101"), ("w1", "102")]
+    assert rows(merkle.found(wal(104), notable, log, path)) == [("w1", "103")]
+    state = merkle.MerkleState(spark, path)
+    assert state.version()[0] == 3
+    with pytest.raises(ValueError):
+        state.seed(merkle_table(spark, {1: "a"}))
+
+
+def test_p5_runs_publish_output_and_tree_together(spark, tmp_path):
+    table = lambda values: merkle_table(spark, values)
     state = merkle.MerkleState(spark, str(tmp_path / "m"))
     keys = lambda df: sorted(int(r.rec_key) for r in df.collect())
     values = {k: "a" for k in range(200)}
