@@ -129,7 +129,7 @@ def _grammar() -> list[Rule]:
         _r("tag", "W :", 3.0, writer=0),
         _r("box", "[ words ]"),
         _r("words", "word"),
-        _r("words", "word words"),
+        _r("words", "words word"),
         _r("word", "W"),
         _r("word", "LVL"),
         _r("num", "W"),
@@ -137,7 +137,7 @@ def _grammar() -> list[Rule]:
         _r("stamp", "ISO", 10.0, time=0),
         _r("stamp", "ISO ZONE", 10.2, time=0, zone=1),
         _r("pairs", "pair"),
-        _r("pairs", "pair pairs"),
+        _r("pairs", "pairs pair"),
         _r("pair", "kT moment"),
         _r("pair", "kL rank"),
         _r("pair", "kC name"),
@@ -145,7 +145,7 @@ def _grammar() -> list[Rule]:
         _r("pair", "kO scalar", 0.1),
         _r("object", "{ members }"),
         _r("members", "member"),
-        _r("members", "member , members"),
+        _r("members", "members , member"),
         _r("member", "jT moment"),
         _r("member", "jL rank"),
         _r("member", "jC name"),
@@ -156,7 +156,7 @@ def _grammar() -> list[Rule]:
         _r("list", "[ ]"),
         _r("list", "[ elements ]"),
         _r("elements", "element"),
-        _r("elements", "element , elements"),
+        _r("elements", "elements , element"),
         _r("element", "scalar"),
         _r("element", "object"),
         _r("element", "list"),
@@ -214,7 +214,7 @@ def parse_line(raw: str | None) -> Parsed | None:
     if raw is None or not raw.strip():
         return None
     parser = _shared_parser()
-    node = parser.root
+    node = parser.begin()
     spans: list[tuple[int, int]] = []
     if raw[0] in " \t":
         node = node.children.get("TAB") or parser.child(node, "TAB")

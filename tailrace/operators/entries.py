@@ -14,32 +14,23 @@ from tailrace.io import host_key, saved
 #: Rows of one batch, host and source are ordered in blocks of so many positions.
 BLOCK = 100_000
 
-_HEADER = "begins boolean, lvl string, component string"
-_FULL = "begins boolean, time_text string, lvl string, component string, message string, unparsed string, score double"
+_PARSE = "begins boolean, time_text string, lvl string, component string, message string, unparsed string, score double"
+_GROUP = ["b", "h", "s", "solo"]
 
 
-def _parsed(df: DataFrame, raw: str, full: bool) -> DataFrame:
+def _parsed(df: DataFrame, raw: str) -> DataFrame:
     """Adds the parse of column ``raw``; the lines are parsed in Arrow batches,
     with the parser's state shared by all batches of a worker."""
-    spec = _FULL if full else _HEADER
-    names = [x.split()[0] for x in spec.split(", ")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != raw) + ", " + spec
-    types = [pa.bool_(), *[pa.string()] * (len(names) - 2), pa.float64() if full else pa.string()]
+    names = [x.split()[0] for x in _PARSE.split(", ")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != raw) + ", " + _PARSE
+    types = [pa.bool_(), *[pa.string()] * 5, pa.float64()]
+    nothing = (False, None, None, None, None, None, None)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.get_field_index(raw)
-            out: list[list] = [[] for _ in names]
-            for text in b.column(at).to_pylist():
-                p = parse_line(text)
-                if p is None:
-                    row = (False, None, None, None, None, None, None) if full else (False, None, None)
-                elif full:
-                    row = (p.time is not None, p.time, p.level, p.component, p.message, p.unparsed, p.score)
-                else:
-                    row = (p.time is not None, p.level, p.component)
-                for column, value in zip(out, row):
-                    column.append(value)
+            rows = [nothing if p is None else (p.time is not None, *p) for p in map(parse_line, b.column(at).to_pylist())]
+            out = list(zip(*rows)) if rows else [[] for _ in names]
             kept = [(f.name, c) for f, c in zip(b.schema, b.columns) if f.name != raw]
             arrays = [c for _, c in kept] + [pa.array(c, t) for c, t in zip(out, types)]
             yield pa.RecordBatch.from_arrays(arrays, [n for n, _ in kept] + names)
@@ -51,31 +42,36 @@ def parse_lines(rows: DataFrame, raw: str = "raw", keep: list[str] | None = None
     """``keep`` columns and the parse of each row's text: begins, time_text, lvl,
     component, message, unparsed (what the best parse leaves out) and score.
     Null and blank text begins nothing and has null fields."""
-    return _parsed(rows.select(*(keep or []), raw), raw, True)
+    return _parsed(rows.select(*(keep or []), raw), raw)
 
 
 def _segments(wire: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Runs of rows of one entry within a block: (batch, host, source, block, entry,
+    """Runs of rows of one entry within a block: (batch, host, source, solo, block, entry,
     first/last position and delivery, lvl, component, bare).  ``entry`` is null for
-    rows that go on with an entry of an earlier block, or with none.
+    rows that go on with an entry of an earlier block, or with none.  Rows without a
+    batch or a place in it are ``solo``, each a group of its own.
 
     With ``keep`` also these columns, time_text, message and unparsed of the first row, and
     ``texts`` (pos, delivery_id, text) of the rows that begin nothing."""
     full = keep is not None
     keep = keep or []
+    placed = F.col("batch_id").isNotNull() & F.col("batch_pos").isNotNull()
     lines = wire.filter(F.trim(F.regexp_replace("raw", r"\s+", " ")) != "").select(
         "delivery_id",
-        F.coalesce("batch_id", F.lit(-1)).alias("b"),
-        F.coalesce("batch_pos", F.lit(-1)).alias("pos"),
+        F.when(placed, F.col("batch_id")).otherwise(-1).alias("b"),
+        F.when(placed, F.col("batch_pos")).otherwise(0).alias("pos"),
         F.coalesce(F.concat(F.lit("="), host_key(F.col("host"))), F.lit("")).alias("h"),
         F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("s"),
+        F.when(~placed, F.col("delivery_id")).otherwise(-1).alias("solo"),
         F.col("fields").isNull().alias("bare"),
         *[F.col(c).alias(f"keep_{c}") for c in keep],
         "raw",
     )
     # text that is blank in a wider sense has no level, not even an empty one
-    rows = _parsed(lines, "raw", full).filter("lvl is not null").withColumn("block", F.call_function("div", F.col("pos"), F.lit(BLOCK)))
-    w = Window.partitionBy("b", "h", "s", "block").orderBy("pos", "delivery_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = _parsed(lines, "raw").filter("lvl is not null").withColumn("block", F.call_function("div", F.col("pos"), F.lit(BLOCK))).drop("score")
+    if not full:  # what isn't asked for is parsed, but doesn't travel
+        rows = rows.drop("time_text", "message", "unparsed")
+    w = Window.partitionBy(*_GROUP, "block").orderBy("pos", "delivery_id").rowsBetween(Window.unboundedPreceding, 0)
     run = rows.withColumn("entry", F.last(F.when(F.col("begins"), F.col("delivery_id")), ignorenulls=True).over(w))
     at = F.struct("pos", "delivery_id")
     own = lambda c: F.max(F.when(F.col("begins"), F.col(c)))
@@ -83,7 +79,7 @@ def _segments(wire: DataFrame, keep: list[str] | None = None) -> DataFrame:
     if full:
         text = F.when(~F.col("begins"), F.struct("pos", "delivery_id", F.col("unparsed").alias("text")))
         more = [own("time_text").alias("time_text"), own("message").alias("message"), own("unparsed").alias("unparsed"), *[own(f"keep_{c}").alias(c) for c in keep], F.collect_list(text).alias("texts")]
-    return run.groupBy("b", "h", "s", "block", "entry").agg(
+    return run.groupBy(*_GROUP, "block", "entry").agg(
         F.min(at).alias("first"),
         F.max(at).alias("last"),
         own("lvl").alias("lvl"),
@@ -93,36 +89,32 @@ def _segments(wire: DataFrame, keep: list[str] | None = None) -> DataFrame:
     )
 
 
+def _opened(segments: DataFrame) -> DataFrame:
+    """(group, block, open): the entry that is open where each block begins.
+
+    The window runs over one row a block, not over rows or segments."""
+    begun = F.when(F.col("entry").isNotNull(), F.struct("first", "entry"))
+    blocks = segments.groupBy(*_GROUP, "block").agg(F.max(begun).getField("entry").alias("top"))
+    before = Window.partitionBy(*_GROUP).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.select(*_GROUP, "block", F.last("top", ignorenulls=True).over(before).alias("open")).filter("open is not null")
+
+
 def assemble(wire: DataFrame) -> DataFrame:
     """Entries: (first_delivery_id, last_delivery_id, lvl, component, bare).
 
     A row that states a time begins an entry; a non-blank row without one goes
     on with the latest entry above it in its batch with the same host and
-    source (null equals null), or belongs to none.  ``bare``: the first row has
-    null ``fields``.  Rows of one batch, host and source are ordered in blocks;
-    what a block begins with is attached to the last entry of the blocks before
-    it, so no task holds such a group as a whole.
+    source (null equals null), or belongs to none; so does one without a batch
+    or a place in it.  ``bare``: the first row has null ``fields``.  Rows of one
+    batch, host and source are ordered in blocks; what a block begins with is
+    attached to the last entry of the blocks before it, so no task holds such a
+    group as a whole.
     """
-    segments = _segments(wire)
-    several = not wire.filter(F.col("batch_pos") >= BLOCK).limit(1).isEmpty()
-    if not several:  # read from the column's statistics alone where they tell
-        return segments.filter("entry is not null").select(F.col("entry").alias("first_delivery_id"), F.col("last.delivery_id").alias("last_delivery_id"), "lvl", "component", "bare")
-    segments = saved(segments, "segments")
-    begun = segments.filter("entry is not null")
-    keys = ["b", "h", "s"]
-    # Only blocks after the first can go on with an earlier one.
-    orphans = segments.filter("entry is null and block > 0").select(*keys, "block", F.col("last").alias("o_last"))
-    heads = begun.groupBy(*keys, "block").agg(F.max(F.struct("first.pos", "entry")).alias("top"))
-    before = heads.select(*keys, F.col("block").alias("h_block"), F.col("top.entry").alias("entry"))
-    carried = (
-        orphans.join(before, keys)
-        .filter("h_block < block")
-        .groupBy(*keys, "block")
-        .agg(F.max_by("entry", "h_block").alias("entry"), F.first("o_last").alias("last"))
-        .groupBy("entry")
-        .agg(F.max("last").alias("more"))
-    )
-    return begun.join(carried, "entry", "left").select(
+    segments = saved(_segments(wire), "segments")
+    # only blocks after the first can go on with an earlier one
+    orphans = segments.filter("entry is null and block > 0").select(*_GROUP, "block", "last")
+    carried = orphans.join(_opened(segments), [*_GROUP, "block"]).groupBy(F.col("open").alias("entry")).agg(F.max("last").alias("more"))
+    return segments.filter("entry is not null").join(carried, "entry", "left").select(
         F.col("entry").alias("first_delivery_id"), F.greatest(F.col("last"), F.coalesce("more", "last")).getField("delivery_id").alias("last_delivery_id"), "lvl", "component", "bare"
     )
 
@@ -139,13 +131,9 @@ def records(wire: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """
     keep = keep or []
     segments = saved(_segments(wire, keep), "records")
-    keys = ["b", "h", "s"]
     begun = segments.filter("entry is not null")
-    loose = segments.filter("entry is null").select(*keys, "block", "texts")
     # what a block begins with goes on with the last entry of the nearest block before it
-    heads = begun.groupBy(*keys, F.col("block").alias("h_block")).agg(F.max_by("entry", "first").alias("open"))
-    opened = loose.select(*keys, "block").join(heads, keys).filter("h_block < block").groupBy(*keys, "block").agg(F.max_by("open", "h_block").alias("open"))
-    loose = loose.join(opened, [*keys, "block"], "left")
+    loose = segments.filter("entry is null").select(*_GROUP, "block", "texts").join(_opened(segments), [*_GROUP, "block"], "left")
     carried = loose.filter("open is not null").groupBy(F.col("open").alias("entry")).agg(F.flatten(F.collect_list("texts")).alias("carried"))
     texts = F.array_sort(F.concat("texts", F.coalesce("carried", F.array().cast(loose.schema["texts"].dataType))))
     whole = begun.join(carried, "entry", "left").withColumn("texts", texts)

@@ -1,5 +1,7 @@
 """Problems 1, 2, 4, 5 and 7 against brute force, with nulls, ties, repeats, empty tables and clashing names."""
 
+import time
+import tracemalloc
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -228,6 +230,34 @@ def test_p2_records_hold_all_text(spark, rows, monkeypatch, block):
     assert rows(entries.records(wire(spark, []))) == []
 
 
+def test_p2_rows_without_a_place_stand_alone(spark, rows):
+    data = [(1, None, 0, None, None, A, "h", "s", None), (2, None, 1, None, None, "x", "h", "s", None), (3, 1, None, None, None, "y", "h", "s", None), (4, 1, 0, None, None, A, "h", "s", None), (5, 1, None, None, None, "z", "h", "s", None)]
+    assert rows(entries.found(wire(spark, data))) == [(1, 1, "INFO", "net.Flush"), (4, 4, "INFO", "net.Flush")]
+    assert rows(entries.records(wire(spark, data)), "delivery_id", "last_delivery_id", "unparsed") == [(1, 1, None), (2, 2, "x"), (3, 3, "y"), (4, 4, None), (5, 5, "z")]
+
+
+@pytest.mark.parametrize("line", ['{"ts":"2024-03-12T10:03:54Z",%s,"level":"error"}', "ts=2024-03-12T10:03:54Z %s level=error"])
+def test_p2_long_lines_take_linear_time_and_little_memory(line):
+    pair, between = ('"key%d":"some value"', ",") if line[0] == "{" else ("key%d=value", " ")
+    text = line % between.join(pair % k for k in range(4500))
+    assert len(text) > 50_000 and parse_line("2024-03-12T10:03:54Z x") is not None
+    began = time.process_time()
+    p = parse_line(text)
+    assert time.process_time() - began < 3 and (p.time, p.level) == ("2024-03-12T10:03:54Z", "ERROR")
+    tracemalloc.start()
+    parse_line(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100_000_000
+
+
+def test_p2_the_trie_is_bounded():
+    earley = WeightedEarley([Rule("s", ("items",)), Rule("items", ("a",)), Rule("items", ("b",)), Rule("items", ("items", "a")), Rule("items", ("items", "b"), 1.0)], "s", max_nodes=50, keep_depth=8)
+    for k in range(300):
+        bits = [("a", "b")[k >> j & 1] for j in range(12)]
+        assert earley.parse(bits)[0] == sum(t == "b" for t in bits[1:]) and earley.size <= 50 + 9
+
+
 def test_p2_empty_and_full_parse(spark, rows):
     assert rows(entries.found(wire(spark, []))) == []
     got = rows(entries.parse_lines(wire(spark, P2[:3]), "raw", ["delivery_id"]), "delivery_id", "begins", "message", "unparsed")
