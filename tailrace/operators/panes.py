@@ -8,6 +8,7 @@ pane, and each of them is emitted again with the next version.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window
@@ -84,16 +85,22 @@ def windows_of(panes: DataFrame, spec: PaneSpec) -> DataFrame:
     return panes.withColumn("window_us", F.explode(starts)).filter(F.col("pane_us") + spec.pane_us <= F.col("window_us") + spec.size_us)
 
 
-def receipt_counts(assigned: DataFrame, keys: list[str], spec: PaneSpec) -> DataFrame:
-    """(keys, pane_us, late_us, n): how many rows of each pane were received how late.
+def late_step(late: Column, spec: PaneSpec) -> Column:
+    """Lateness against the pane's end in whole steps; null for rows in the first
+    emission of every window, and no more than what is past every cut-off."""
+    steps = F.least(late - F.pmod(late, F.lit(spec.step_us)), F.lit(spec.cutoff_us + spec.size_us - spec.pane_us))
+    return F.when(late >= spec.grace_us, steps)
+
+
+def receipt_counts(assigned: DataFrame, keys: list[str], spec: PaneSpec, more: tuple[Column, ...] = ()) -> DataFrame:
+    """(keys, pane_us, late_us, n): how many rows of each pane were received how late;
+    with ``more`` aggregates of these rows.
 
     ``late_us`` is the lateness against the pane's end in whole steps, null for
     rows in the first emission of every window, and no more than the value that
     is past the cut-off of every window; so a pane has a bounded number of rows.
     """
-    late = F.col("lateness_us")
-    steps = F.least(late - F.pmod(late, F.lit(spec.step_us)), F.lit(spec.cutoff_us + spec.size_us - spec.pane_us))
-    return assigned.filter("event_us is not null").groupBy(*keys, "pane_us", F.when(late >= spec.grace_us, steps).alias("late_us")).agg(F.count(F.lit(1)).alias("n"))
+    return assigned.filter("event_us is not null").groupBy(*keys, "pane_us", late_step(F.col("lateness_us"), spec).alias("late_us")).agg(F.count(F.lit(1)).alias("n"), *more)
 
 
 def window_ticks(receipts: DataFrame, spec: PaneSpec) -> DataFrame:
@@ -140,10 +147,32 @@ def final_counts(assigned: DataFrame, keys: list[str], spec: PaneSpec) -> DataFr
     )
 
 
+def late_changes(assigned: DataFrame, keys: list[str], spec: PaneSpec) -> DataFrame:
+    """(keys, pane_us, late_us, window_us, tick): what late rows do to the panes, one row
+    for each pane, step of lateness and window over it: the round in which the
+    window is recomposed and emitted again, or -1 past its cut-off."""
+    late = receipt_counts(assigned, keys, spec).filter("late_us is not null")
+    return window_ticks(late, spec).filter("tick <> 0").select(*keys, "pane_us", "late_us", "window_us", "tick")
+
+
+def late_rows(assigned: DataFrame, keys: list[str], spec: PaneSpec) -> DataFrame:
+    """``assigned`` rows that change a pane after a window over it was first emitted,
+    once for each such window, with ``window_us`` and ``tick``.
+
+    The rows meet the changes of their panes, which are one row a pane and step
+    of lateness; keys are compared null-safe."""
+    changes = late_changes(assigned, keys, spec).withColumnsRenamed({k: f"__{k}" for k in (*keys, "pane_us", "late_us")})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], (F.col("pane_us") == F.col("__pane_us")) & (F.col("late_us") == F.col("__late_us")))
+    rows = assigned.withColumn("late_us", late_step(F.col("lateness_us"), spec)).filter("event_us is not null and late_us is not null")
+    return rows.join(changes, same).drop("late_us", *[f"__{k}" for k in (*keys, "pane_us", "late_us")])
+
+
 def found(ingest: DataFrame) -> DataFrame:
-    """Late rows with the hour they belong to and what becomes of them."""
-    late = assign_ingest(ingest).filter(F.col("fate") != "first")
-    return late.select("ingest_id", F.col("pane_us").alias("period_us"), "fate")
+    """(ingest_id, period_us, fate): late rows with the hour whose pane they change and
+    what becomes of them: the hour is corrected, or its cut-off has passed."""
+    spec = PaneSpec()
+    late = late_rows(assign_ingest(ingest, spec), ["index_name"], spec)
+    return late.select("ingest_id", F.col("window_us").alias("period_us"), F.when(F.col("tick") > 0, "corrects").otherwise("dropped").alias("fate"))
 
 
 def segment_ranges(ingest: DataFrame, segments: DataFrame) -> DataFrame:

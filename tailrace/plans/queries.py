@@ -330,7 +330,9 @@ def _stream_panes(spark, d):
     at, spec = scratch(spark, "stream"), PaneSpec()
     stated = micros_of_number(F.when(F.col("timestamp_us") != 0, F.col("timestamp_us")))
     start(stream, stated, F.col("received_us"), ["index_name"], spec, f"{at}/state", f"{at}/checkpoint", once=True).awaitTermination()
-    return PaneStore(spark, f"{at}/state", {"index_name": "string"}, spec).current().select("index_name", F.col("window_us").alias("period_us"), "n")
+    store = PaneStore(spark, f"{at}/state", {"index_name": "string"}, spec)
+    store.flush()  # the table ends, windows that wait for later receipts are emitted as they stand
+    return store.current().select("index_name", F.col("window_us").alias("period_us"), "n")
 
 
 def _host_names(spark, d):

@@ -46,6 +46,25 @@ def test_panes_over_a_stream_equal_the_batch(spark, tmp_path, rows):
     assert rows(store.current()) == before
 
 
+def test_windows_wait_for_the_clock_and_batches_are_added_up(spark, tmp_path, rows):
+    spec = panes.PaneSpec()
+    store = PaneStore(spark, str(tmp_path / "state"), {"index_name": "string"}, spec, most_batches=2)
+    take = lambda n, event, received: store.take(panes.assign(spark.createDataFrame([(n, received, event, None)], SCHEMA), F.col("timestamp_us"), F.col("received_us"), spec), n)
+    take(0, T0, T0 + 1)
+    assert rows(store.current()) == []
+    take(1, T0 + HOUR, T0 + HOUR + 9 * panes.MINUTE_US)
+    assert rows(store.current()) == []  # the grace of the first hour isn't over
+    take(2, T0 + 40 * HOUR, T0 + HOUR + 10 * panes.MINUTE_US)
+    assert rows(store.current()) == [(None, T0, 1)]
+    take(3, T0 + 1, T0 + 3 * HOUR)  # corrects the first hour; the second is due
+    assert rows(store.current()) == [(None, T0, 2), (None, T0 + HOUR, 1)]
+    take(4, T0 + 2, T0 + 14 * HOUR)  # too late
+    assert rows(store.current()) == [(None, T0, 2), (None, T0 + HOUR, 1)]
+    assert store.commits.last()[0] >= 1 and len(store._folders("panes")) <= 4
+    store.flush()
+    assert rows(store.current()) == [(None, T0, 2), (None, T0 + HOUR, 1), (None, T0 + 40 * HOUR, 1)]
+
+
 def test_stream_keeps_late_rows_for_windows_inside_their_cutoff(spark, tmp_path, rows):
     spec = panes.PaneSpec(size_us=3 * HOUR, slide_us=HOUR)
     store = PaneStore(spark, str(tmp_path / "state"), {"index_name": "string"}, spec)
