@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tailrace.io import table
+from tailrace.io import scratch, table
 from tailrace.llm import distinct, frequent, leaks, packing, quality
 
 
@@ -16,6 +16,16 @@ def _p3_returning_hosts(spark, d):
     return distinct.returning_hosts(table(spark, d, "wire_event")).withColumn("day", F.col("day").cast("string"))
 
 
+def _p3_merged_days(spark, d):
+    """Distinct hosts by index and source from two runs, over the earlier and the later days."""
+    wire = table(spark, d, "wire_event")
+    day = F.to_date(F.col("received_at").cast("timestamp"))
+    middle = wire.agg(F.date_add(F.min(day), F.call_function("div", F.datediff(F.max(day), F.min(day)), F.lit(2)).cast("int")).alias("m")).first().m
+    early = F.coalesce(day <= F.lit(middle), F.lit(False))
+    dictionary = distinct.Dictionary(spark, scratch(spark, "hosts"))
+    return distinct.merged_runs([wire.filter(early), wire.filter(~early)], ["day", "index_name", "source"], ["index_name", "source"], dictionary)
+
+
 def _p6_found(spark, d):
     return frequent.found(table(spark, d, "wire_event"), table(spark, d, "ioc"))
 
@@ -48,6 +58,7 @@ def _p10_statistics(spark, d):
 QUERIES = {
     "p3_distinct_hosts": _p3_distinct_hosts,
     "p3_returning_hosts": _p3_returning_hosts,
+    "p3_merged_days": _p3_merged_days,
     "p6_found": _p6_found,
     "p6_counts": _p6_counts,
     "p8_packed": _p8_packed,
@@ -74,6 +85,7 @@ SELECT CAST(w.day AS VARCHAR) AS day, index_name, source, CAST(grouping(w.day, i
 FROM w GROUP BY CUBE (w.day, index_name, source) HAVING count(h) > 0""",
     "p3_returning_hosts": f"""WITH w AS (SELECT DISTINCT CAST(received_at AS DATE) AS day, {_HOST} AS h FROM wire_event WHERE {_HOST} IS NOT NULL)
 SELECT CAST(w.day AS VARCHAR) AS day, CAST(count(*) AS BIGINT) AS n_hosts, CAST(count(y.h) AS BIGINT) AS n_returning FROM w LEFT JOIN w y ON y.h = w.h AND y.day = w.day - 1 GROUP BY w.day""",
+    "p3_merged_days": f"""SELECT index_name, source, CAST(count(DISTINCT {_HOST}) AS BIGINT) AS n_hosts, CAST(0 AS BIGINT) AS max_error FROM wire_event GROUP BY 1, 2 HAVING count({_HOST}) > 0""",
     "p6_found": f"WITH {_VALUES} SELECT field_name, item FROM k JOIN t USING (field_name) WHERE n >= 5 AND n * 100 >= total",
     "p6_counts": f"WITH {_VALUES} SELECT field_name, item, CAST(n AS BIGINT) AS n, CAST(total AS BIGINT) AS total FROM k JOIN t USING (field_name) WHERE n >= 5 AND n * 100 >= total",
     "p9_found": f"WITH {_GRAMS} SELECT doc_id, item_id FROM f",

@@ -55,6 +55,41 @@ def test_p3_numbers_are_dense_and_partials_merge(spark):
     assert distinct.counts(distinct.intersection(*parts, ["g"]), ["g"]).first().n_distinct == 50
 
 
+def test_p3_runs_with_one_dictionary_merge(spark, tmp_path):
+    t = datetime(2024, 3, 9)
+    runs = [wire(spark, [(t + timedelta(days=k), "a", "x", f"h{n}", None) for n in range(*r)]) for k, r in enumerate(((0, 2), (2, 4), (1, 3)))]
+    hosts = distinct.Dictionary(spark, str(tmp_path / "hosts"))
+    parts = [distinct.host_bitmaps(r, ["day", "index_name"], hosts) for r in runs]
+    whole = distinct.counts(distinct.union(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["index_name"]), ["index_name"]).collect()
+    assert [tuple(r) for r in whole] == [("a", 4, 0)]
+    coded = hosts.read().collect()
+    assert sorted(r.num for r in coded) == list(range(4)) and len({r.id for r in coded}) == 4
+    # of two writers that start from one state the second numbers after the first
+    other, new = distinct.Dictionary(spark, str(tmp_path / "hosts")), lambda *ids: spark.createDataFrame([(i, 1) for i in ids], "id string, near int")
+    publish = hosts.commits.publish
+
+    def late(number, content):
+        hosts.commits.publish = publish
+        other.update(new("p", "q"))
+        publish(number, content)
+
+    hosts.commits.publish = late
+    coded = hosts.update(new("q", "r", None)).collect()
+    assert sorted(r.num for r in coded) == list(range(7)) and len({r.id for r in coded}) == 7
+
+
+def test_p3_buckets_and_cells(spark, monkeypatch):
+    monkeypatch.setattr(distinct, "BUCKET_BITS", 7)
+    monkeypatch.setattr(distinct, "CELL", 50)
+    df = spark.range(1000).select(F.col("id").cast("string").alias("x"), (F.col("id") % 3).alias("near"), (F.col("id") % 7 < 3).cast("string").alias("g"))
+    coded = distinct.encode(df, "x", "near")
+    assert sorted(r.num for r in coded.collect()) == list(range(1000))
+    maps = distinct.bitmaps(df.join(coded, "x"), ["g"])
+    assert maps.filter("size(words) > 2").isEmpty() and maps.select("bucket").distinct().count() == 8
+    assert {r.g: r.n_distinct for r in distinct.counts(maps, ["g"]).collect()} == {"true": 429, "false": 571}
+    assert distinct.counts(distinct.union(maps, []), []).first().n_distinct == 1000
+
+
 def test_p3_returning(spark):
     t = datetime(2024, 3, 9)
     data = [(t, "a", "x", "h1", None), (t, "a", "x", "h2", None), (t + timedelta(days=1), "a", "x", "H1", None), (t + timedelta(days=3), "a", "x", "h1", None)]
