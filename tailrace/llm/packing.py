@@ -14,12 +14,13 @@ from __future__ import annotations
 import base64
 import math
 import os
+import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tailrace.io import saved
@@ -31,8 +32,9 @@ LENGTHS = (256, 512, 1024, 2048)
 GROUP_ITEMS = 50_000
 #: Tokens that every opened bin costs besides its length.
 BIN_COST = 16
-#: Characters of a text that are encoded at once; a cut is made at white space.
+#: Characters of a text that are encoded at once, or up to the next place where a token must end.
 PIECE_CHARS = 200_000
+_MUST_END = re.compile(r"\S[ \n]")
 
 _encodings: dict = {}
 
@@ -50,17 +52,18 @@ def _encoding(path: str):
 
 
 def _n_tokens(encoding, text: str) -> int:
-    if len(text) <= PIECE_CHARS:
-        return len(encoding.encode_ordinary(text))
+    """Tokens of a text.  A long one is encoded piece by piece, cut where a token must
+    end whatever surrounds it: no token goes on from a character to a blank after
+    it.  A run without such a place is encoded as a whole, so the count doesn't
+    depend on PIECE_CHARS."""
     total, at = 0, 0
-    while at < len(text):
-        end = min(len(text), at + PIECE_CHARS)
-        if end < len(text):
-            cut = max(text.rfind(" ", at + 1, end), text.rfind("\n", at + 1, end))
-            end = cut if cut > at else end
-        total += len(encoding.encode_ordinary(text[at:end]))
-        at = end
-    return total
+    while len(text) - at > PIECE_CHARS:
+        m = _MUST_END.search(text, at + PIECE_CHARS - 1)
+        if m is None:
+            break
+        total += len(encoding.encode_ordinary(text[at : m.end() - 1]))
+        at = m.end() - 1
+    return total + len(encoding.encode_ordinary(text[at:]))
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer_dir: str = TOKENIZERS, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
@@ -180,6 +183,23 @@ def packed_documents(docs: DataFrame, capacity: int = CAPACITY, lengths: tuple[i
     )
 
 
+def faults(placed: DataFrame, sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row (n_items, n_lost, n_over, n_misplaced, well_filled): items with tokens; those
+    whose pieces don't add up to their size; containers that hold more than their
+    length or are longer than ``capacity``; pieces that don't begin where the one
+    before ends; and whether less than 1 % of the containers' tokens is unused."""
+    whole = sizes.filter("n_tokens > 0").groupBy("id").agg(F.sum("n_tokens").alias("size"))
+    got = placed.groupBy(F.col("doc_id").alias("id")).agg(F.sum("n_tokens").alias("t"))
+    lost = whole.join(got, "id", "full").agg(F.count("size").alias("n_items"), F.count_if(~F.col("size").eqNullSafe(F.col("t"))).alias("n_lost"))
+    # a container holds at most ``capacity`` pieces
+    in_bin = Window.partitionBy("container").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    begun = placed.withColumn("off", F.col("start") != F.coalesce(F.sum("n_tokens").over(in_bin), F.lit(0)))
+    bins = begun.groupBy("container").agg(F.max("container_tokens").alias("room"), F.sum("n_tokens").alias("t"), F.count_if("off").alias("off"))
+    over = F.count_if((F.col("t") > F.col("room")) | (F.col("room") > capacity)).alias("n_over")
+    checked = bins.agg(over, F.coalesce(F.sum("off"), F.lit(0)).cast("bigint").alias("n_misplaced"), F.coalesce(F.sum("room") - F.sum("t") < 0.01 * F.sum("room"), F.lit(True)).alias("well_filled"))
+    return lost.join(F.broadcast(checked))
+
+
 def fill(placed: DataFrame) -> DataFrame:
     """(container_tokens, n_containers, n_pieces, tokens, unused_share) of a packing."""
     bins = placed.groupBy("container", "container_tokens").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("k"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tailrace.io import scratch, table
+from tailrace.io import saved, scratch, table
 from tailrace.llm import distinct, frequent, leaks, packing, quality
 
 
@@ -38,6 +38,12 @@ def _p8_packed(spark, d):
     return packing.packed_documents(table(spark, d, "documents"))
 
 
+def _p8_faults(spark, d):
+    """What may go wrong in a packing, counted over all documents."""
+    docs = table(spark, d, "documents")
+    return packing.faults(saved(packing.packed_documents(docs), "packed"), packing.token_counts(docs))
+
+
 def _p9_found(spark, d):
     return leaks.found(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
@@ -55,6 +61,17 @@ def _p10_statistics(spark, d):
     return got.select("doc_id", "n_chars", "n_words", "n_lines", "mean_word_length")
 
 
+def _p10_ratios(spark, d):
+    got = quality.document_statistics(table(spark, d, "documents"), table(spark, d, "common_word"))
+    return got.select("doc_id", "symbol_ratio", "digit_ratio", "punctuated_line_share", "common_word_share")
+
+
+def _p10_labels(spark, d):
+    """The shapes found for the labelled documents."""
+    got = quality.document_statistics(table(spark, d, "documents"), table(spark, d, "common_word"))
+    return got.join(table(spark, d, "doc_label").select("doc_id"), "doc_id", "left_semi").select("doc_id", "shape")
+
+
 QUERIES = {
     "p3_distinct_hosts": _p3_distinct_hosts,
     "p3_returning_hosts": _p3_returning_hosts,
@@ -62,10 +79,13 @@ QUERIES = {
     "p6_found": _p6_found,
     "p6_counts": _p6_counts,
     "p8_packed": _p8_packed,
+    "p8_faults": _p8_faults,
     "p9_found": _p9_found,
     "p9_leak_report": _p9_leak_report,
     "p10_found": _p10_found,
     "p10_statistics": _p10_statistics,
+    "p10_ratios": _p10_ratios,
+    "p10_labels": _p10_labels,
 }
 
 _HOST = r"nullif(regexp_replace(lower(trim(host)), '\.$', ''), '')"
@@ -78,6 +98,7 @@ dg AS (SELECT doc_id, array_to_string(x[k : k + 11], ' ') AS g FROM (SELECT doc_
 ig AS (SELECT item_id, array_to_string(x[k : k + 11], ' ') AS g FROM (SELECT item_id, x, unnest(range(1, len(x) - 10)) AS k FROM u)),
 f AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g))"""
 _SPACE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_CORE = r"regexp_extract(x, '[\p{L}\p{N}](?:.*[\p{L}\p{N}])?')"
 
 SQL = {
     "p3_distinct_hosts": f"""WITH w AS (SELECT CAST(received_at AS DATE) AS day, index_name, source, {_HOST} AS h FROM wire_event)
@@ -90,6 +111,18 @@ SELECT CAST(w.day AS VARCHAR) AS day, CAST(count(*) AS BIGINT) AS n_hosts, CAST(
     "p6_counts": f"WITH {_VALUES} SELECT field_name, item, CAST(n AS BIGINT) AS n, CAST(total AS BIGINT) AS total FROM k JOIN t USING (field_name) WHERE n >= 5 AND n * 100 >= total",
     "p9_found": f"WITH {_GRAMS} SELECT doc_id, item_id FROM f",
     "p9_leak_report": f"WITH {_GRAMS} SELECT e.item_id, suite, CAST(count(f.doc_id) AS BIGINT) AS n_docs FROM eval_item e LEFT JOIN f USING (item_id) GROUP BY 1, 2",
+    "p8_faults": "SELECT CAST(count(*) FILTER (text <> '') AS BIGINT) AS n_items, CAST(0 AS BIGINT) AS n_lost, CAST(0 AS BIGINT) AS n_over, CAST(0 AS BIGINT) AS n_misplaced, true AS well_filled FROM documents",
+    "p10_labels": "SELECT doc_id, shape FROM doc_label",
+    "p10_ratios": rf"""WITH d AS (SELECT doc_id, text, length(regexp_replace(text, '[{_SPACE}]', '', 'g')) AS solid FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, length(regexp_replace(text, '[{_SPACE}\p{{L}}\p{{Nd}}²³¹]', '', 'g')) AS symbols, len(regexp_extract_all(text, '[\p{{Nd}}²³¹]')) AS digits, solid FROM d),
+l AS (SELECT doc_id, count(*) FILTER (regexp_matches(l, '[^{_SPACE}]')) AS lines,
+count(*) FILTER (regexp_matches(l, '[^ ][.!?…。！？]["''”’»)\]*_`]*[{_SPACE}]*$')) AS ended FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\r\n|\r|\n')) AS l FROM d) GROUP BY 1),
+k AS (SELECT DISTINCT lower(word) AS w FROM common_word WHERE word IS NOT NULL),
+w AS (SELECT doc_id, lower({_CORE}) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^{_SPACE}]+')) AS x FROM d)),
+c AS (SELECT doc_id, count(*) AS words, count(*) FILTER (c IN (SELECT w FROM k) OR (contains(c, chr(39)) AND split_part(c, chr(39), 1) IN (SELECT w FROM k))) AS common FROM w GROUP BY 1)
+SELECT d.doc_id, CASE WHEN d.solid = 0 THEN 0.0 ELSE symbols / d.solid::DOUBLE END AS symbol_ratio, CASE WHEN d.solid = 0 THEN 0.0 ELSE digits / d.solid::DOUBLE END AS digit_ratio,
+CASE WHEN lines > 0 THEN ended / lines::DOUBLE ELSE 0.0 END AS punctuated_line_share, coalesce(common / words::DOUBLE, 0.0) AS common_word_share
+FROM d JOIN s USING (doc_id) JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)""",
     "p10_statistics": rf"""WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '[^{_SPACE}]+') AS x FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, CAST(length(text) - CAST(len(regexp_extract_all(text, '\r\n')) AS BIGINT) * 2 - len(regexp_extract_all(replace(text, chr(13) || chr(10), ''), '[\r\n]')) AS BIGINT) AS n_chars,
 CAST(len(x) AS BIGINT) AS n_words, CAST(len(list_filter(regexp_split_to_array(text, '\r\n|\r|\n'), lambda l: regexp_matches(l, '[^{_SPACE}]'))) AS BIGINT) AS n_lines,
