@@ -19,6 +19,11 @@ _V1 = r"^(?:<\d{1,3}>)\d{1,2}\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+"
 _BSD = r"^(?:<\d{1,3}>)?[A-Z][a-z]{2}\s+\d{1,2}\s+\d\d:\d\d:\d\d\s+(\S+)\s+([^\s:\[]+)(?:\[[^\]]*\])?:?"
 
 
+def has_envelope(raw: Column) -> Column:
+    """Whether a line begins with a priority, or with a date, a host and a program."""
+    return raw.rlike(_PRI) | raw.rlike(_BSD)
+
+
 def _known(c: Column) -> Column:
     return F.when((c != "") & (c != "-"), c)
 

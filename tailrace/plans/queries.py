@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tailrace import written_sql
 from tailrace.detect import enrich, notables
 from tailrace.detect.engine import single_scan
 from tailrace.detect.rules import BUILTIN, Rule
-from tailrace.functions.syslog import syslog_fields
+from tailrace.functions.syslog import FACILITIES, SEVERITIES, has_envelope, syslog_fields
 from tailrace.functions.text import bytes_text, tokens
 from tailrace.functions.instants import micros_of_number
 from tailrace.io import host_key, scratch, table
@@ -114,8 +115,8 @@ PIPED: dict[str, tuple[str, str]] = {
     "stats_dc": ("search index=events | stats dc(user_id) AS users by source", _W + "SELECT source, count(DISTINCT user_id) AS users FROM e GROUP BY 1"),
     "stats_values": ("search index=events | stats values(event_type) AS kinds by host", _W + "SELECT host, string_agg(DISTINCT event_type, ', ' ORDER BY event_type) AS kinds FROM e GROUP BY 1"),
     "stats_list": (
-        'search index=events | where user_id < 5 | stats list(event_type) AS kinds by host | eval kinds = mvjoin(kinds, ",")',
-        _W + "SELECT host, string_agg(event_type, ',' ORDER BY _time, _id) AS kinds FROM e WHERE user_id < 5 GROUP BY 1",
+        'search index=events | stats list(event_type) AS kinds by user_id, source | eval kinds = mvjoin(kinds, ",")',
+        _W + "SELECT user_id, source, string_agg(event_type, ',' ORDER BY _time, _id) AS kinds FROM e GROUP BY 1, 2",
     ),
     "stats_list_users": (
         'search index=events | stats list(event_type) AS kinds by user_id | eval kinds = mvjoin(kinds, ",")',
@@ -195,20 +196,16 @@ def _tokens(spark, d):
     return table(spark, d, "documents").filter("text is not null").select(F.explode(tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _index_stats(spark, d, indexes=("events", "documents")):
-    e = catalog(spark, d).load(indexes)
-    return e.groupBy("index").agg(F.count(F.lit(1)).alias("total_events"), F.coalesce(F.sum(F.octet_length("_raw")), F.lit(0)).cast("bigint").alias("total_size_bytes"), F.countDistinct("host").alias("hosts"))
-
-
-def _index_stats_all(spark, d):
+def _index_stats(spark, d):
     """The statistics of every registered index."""
-    return _index_stats(spark, d, ("*",))
+    e = catalog(spark, d).load(("*",))
+    return e.groupBy("index").agg(F.count(F.lit(1)).alias("total_events"), F.coalesce(F.sum(F.octet_length("_raw")), F.lit(0)).cast("bigint").alias("total_size_bytes"), F.countDistinct("host").alias("hosts"))
 
 
 def _syslog_parse(spark, d):
-    w = table(spark, d, "wire_event").filter("raw is not null")
+    """The envelopes of all lines that have one, with a priority or without."""
     parts = syslog_fields(F.col("raw"))
-    lines = w.filter(F.col("raw").rlike(r"^<\d{1,3}>"))
+    lines = table(spark, d, "wire_event").filter(has_envelope(F.col("raw")))
     return lines.select("delivery_id", *[parts[k].alias(k) for k in ("host", "source", "sourcetype", "severity")])
 
 
@@ -307,8 +304,8 @@ def _bytes_text(spark, d):
 
 
 def _timechart_filled(spark, d):
-    chart = Compiler(catalog(spark, d)).compile("search index=events host=host-3 source=error | timechart span=1h count")
-    return filled(chart, "1h", "count").select(F.date_format("_time", "yyyy-MM-dd HH:mm:ss").alias("bucket"), "count")
+    chart = Compiler(catalog(spark, d)).compile("search index=events | timechart span=10m count")
+    return filled(chart, "10m", "count").select(F.date_format("_time", "yyyy-MM-dd HH:mm:ss").alias("bucket"), "count")
 
 
 def _line_breaks(spark, d):
@@ -352,16 +349,15 @@ OTHER: dict[str, tuple[Query, str | None]] = {
     "timechart_pivot": (_timechart_pivot, _W + "SELECT strftime(_time, '%Y-%m-%d') AS day, CAST(count(*) FILTER (source = 'click') AS BIGINT) AS click, CAST(count(*) FILTER (source = 'error') AS BIGINT) AS error, CAST(count(*) FILTER (source NOT IN ('click', 'error')) AS BIGINT) AS other FROM e GROUP BY 1"),
     "tokenize": (_tokens, f"SELECT token, count(*) AS n FROM (SELECT unnest({_TOKENS}) AS token FROM documents WHERE text IS NOT NULL) GROUP BY 1"),
     "posting_stats": (_posting_stats, f"SELECT count(DISTINCT token) AS term_count, count(*) AS total_postings FROM (SELECT doc_id, unnest(list_distinct({_TOKENS})) AS token FROM documents WHERE text IS NOT NULL)"),
-    "index_stats": (_index_stats, _W + "SELECT 'events' AS index, count(*) AS total_events, CAST(sum(strlen(_raw)) AS BIGINT) AS total_size_bytes, count(DISTINCT host) AS hosts FROM e UNION ALL SELECT 'documents', count(*), CAST(sum(strlen(text)) AS BIGINT), 0 FROM documents"),
-    "index_stats_all": (
-        _index_stats_all,
+    "index_stats": (
+        _index_stats,
         _W + """SELECT 'events' AS index, count(*) AS total_events, CAST(coalesce(sum(strlen(_raw)), 0) AS BIGINT) AS total_size_bytes, count(DISTINCT host) AS hosts FROM e
 UNION ALL SELECT 'documents', count(*), CAST(coalesce(sum(strlen(text)), 0) AS BIGINT), 0 FROM documents
 UNION ALL SELECT 'main', count(*), CAST(coalesce(sum(strlen(raw)), 0) AS BIGINT), count(DISTINCT host) FROM wire_event
 UNION ALL SELECT 'notable', count(*), CAST(coalesce(sum(strlen(description)), 0) AS BIGINT), count(DISTINCT host) FROM notable""",
     ),
-    "syslog_parse": (_syslog_parse, None),
-    "timestamp_extract": (_timestamp_extract, None),
+    "syslog_parse": (_syslog_parse, written_sql.syslog(FACILITIES, SEVERITIES)),
+    "timestamp_extract": (_timestamp_extract, written_sql.INGEST_WRITTEN),
     "sourcetype_detect": (
         _sourcetype_detect,
         """SELECT CASE WHEN regexp_matches(n, 'auth\\.log|^secure') THEN 'linux_secure' WHEN regexp_matches(n, 'syslog|^messages') THEN 'syslog' WHEN regexp_matches(n, 'access.*log|access_log') THEN 'access_combined'
@@ -371,8 +367,8 @@ FROM (SELECT lower(list_last(string_split(source, '/'))) AS n FROM wire_event WH
     "bytes_text": (_bytes_text, "SELECT segment_id, CASE WHEN size_bytes < 1024 THEN CAST(size_bytes AS VARCHAR) || ' B' WHEN size_bytes < 1048576 THEN printf('%.1f KB', size_bytes / 1024.0::DOUBLE) WHEN size_bytes < 1073741824 THEN printf('%.1f MB', size_bytes / 1048576.0::DOUBLE) WHEN size_bytes IS NOT NULL THEN printf('%.1f GB', size_bytes / 1073741824.0::DOUBLE) END AS size FROM segment_meta"),
     "timechart_filled": (
         _timechart_filled,
-        _W + """, c AS (SELECT date_trunc('hour', _time) AS b, count(*) AS n FROM e WHERE host = 'host-3' AND source = 'error' GROUP BY 1),
-r AS (SELECT unnest(generate_series(min(b), max(b), INTERVAL 1 HOUR)) AS b FROM c) SELECT strftime(r.b, '%Y-%m-%d %H:%M:%S') AS bucket, coalesce(n, 0) AS count FROM r LEFT JOIN c USING (b)""",
+        _W + """, c AS (SELECT time_bucket(INTERVAL '10 minutes', _time) AS b, count(*) AS n FROM e GROUP BY 1),
+r AS (SELECT unnest(generate_series(min(b), max(b), INTERVAL 10 MINUTE)) AS b FROM c) SELECT strftime(r.b, '%Y-%m-%d %H:%M:%S') AS bucket, coalesce(n, 0) AS count FROM r LEFT JOIN c USING (b)""",
     ),
     "line_breaks": (_line_breaks, "SELECT doc_id, count(*) AS n_lines FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\\r?\\n')) AS l FROM documents WHERE text IS NOT NULL) WHERE trim(l) <> '' GROUP BY 1"),
     "postings_search": (_postings_search, f"SELECT doc_id AS _id FROM documents WHERE list_contains({_TOKENS}, 'journal') AND list_contains({_TOKENS}, 'queue')"),

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tailrace import written_sql
 from tailrace.io import table
 from tailrace.operators import entries, instants, merkle, once, panes
 
@@ -116,6 +117,9 @@ FROM w WINDOW o AS (PARTITION BY index_name, window_us ORDER BY tick)""",
 r AS (SELECT segment_id, min(us) AS lo, max(us) AS hi, count(*) AS n FROM t GROUP BY 1)
 SELECT s.segment_id, lo AS earliest_time, hi AS latest_time, CAST(coalesce(n, 0) AS BIGINT) AS event_count,
 nullif(s.earliest_time, 0) IS NOT DISTINCT FROM lo AND nullif(s.latest_time, 0) IS NOT DISTINCT FROM hi AS agrees FROM segment_meta s LEFT JOIN r USING (segment_id)""",
+    "p2_found": written_sql.ENTRIES_FOUND,
+    "p2_entries": written_sql.ENTRIES,
+    "p4_found": written_sql.REPAIRED,
     "p5_found": """WITH m AS (SELECT feed, max(to_mark) AS mark FROM run_log WHERE status = 'succeeded' AND committed_at IS NOT NULL GROUP BY 1)
 SELECT DISTINCT w.wal_file AS feed, CAST(sequence_number AS VARCHAR) AS rec_key FROM wal_entry w LEFT JOIN m ON m.feed = w.wal_file
 WHERE w.wal_file IS NOT NULL AND sequence_number IS NOT NULL AND (mark IS NULL OR sequence_number > mark)

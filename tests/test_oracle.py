@@ -72,5 +72,5 @@ def test_list_takes_every_event(spark):
 
 
 def test_index_statistics_cover_every_index(spark):
-    got = piped.QUERIES["index_stats_all"](spark, str(DATA)).collect()
+    got = piped.QUERIES["index_stats"](spark, str(DATA)).collect()
     assert sorted(r["index"] for r in got) == piped.catalog(spark, str(DATA)).names()
