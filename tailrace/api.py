@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
+import threading
 import time
+import uuid
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tailrace.config import Config
 from tailrace.detect.engine import Detector
 from tailrace.detect.notables import NotableStore
 from tailrace.lang.errors import QueryError
@@ -47,11 +51,47 @@ class SearchResult:
         return json.dumps({"total_count": self.total_count, "execution_time_ms": self.execution_time_ms, "columns": self.columns, "events": self.events, "stats": self.stats}, default=str)
 
 
+class Job:
+    """A query that runs in the background: its state, progress and result."""
+
+    def __init__(self, engine: Engine, query: str, options: dict):
+        self.id = uuid.uuid4().hex
+        self._engine = engine
+        self._pool = ThreadPoolExecutor(1)
+        self._future = self._pool.submit(self._run, query, options)
+        self._pool.shutdown(wait=False)
+
+    def _run(self, query: str, options: dict) -> SearchResult:
+        self._engine.spark.sparkContext.setJobGroup(self.id, query, interruptOnCancel=True)
+        return self._engine.execute(query, tag=self.id, **options)
+
+    @property
+    def status(self) -> str:
+        if not self._future.done():
+            return "running"
+        return "failed" if self._future.exception() else "done"
+
+    def progress(self) -> dict[str, int]:
+        """Tasks of the query's stages: how many there are, and how many have ended."""
+        tracker = self._engine.spark.sparkContext.statusTracker()
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(self.id)]
+        stages = [tracker.getStageInfo(s) for j in jobs if j for s in j.stageIds]
+        return {"tasks": sum(s.numTasks for s in stages if s), "done": sum(s.numCompletedTasks for s in stages if s)}
+
+    def cancel(self) -> None:
+        self._engine.cancel(self.id)
+
+    def result(self, timeout: float | None = None) -> SearchResult:
+        return self._future.result(timeout)
+
+
 class Engine:
-    def __init__(self, spark: SparkSession, data_dir: str | None = None):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, data_dir: str | None = None, config: Config | None = None):
+        """An engine over the store at ``data_dir``, or as ``config`` says."""
+        self.spark = config.apply(spark) if config else spark
         self.catalog = Catalog(spark)
-        self.store = EventStore(spark, data_dir) if data_dir else None
+        self.store = config.store(spark) if config else EventStore(spark, data_dir) if data_dir else None
+        self.period = config.detection_period if config else 60.0
         self.notables = NotableStore()
         self.detector = Detector(self.catalog, self.notables)
         self.metrics = Metrics()
@@ -94,6 +134,14 @@ class Engine:
         self.metrics.observe("query_ms", took)
         return SearchResult(total, df.columns, events, took)
 
+    def submit(self, query: str, **options) -> Job:
+        """Starts a query in the background."""
+        return Job(self, query, options)
+
+    def detect(self, stop: threading.Event) -> None:
+        """Runs the rules every period until ``stop`` is set."""
+        self.detector.loop(stop, self.period)
+
     def cancel(self, tag: str) -> None:
         """Stops the running queries with this tag."""
         self.spark.interruptTag(tag)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tailrace.functions.text import tokens
@@ -59,17 +59,35 @@ def band(score: Column) -> Column:
     return chain.otherwise("low")
 
 
-def success_after_failures(events: DataFrame, failed: Column, accepted: Column, by: list[str], time: str = "_time", within: str = "1 hour", least: int = 3) -> DataFrame:
-    """Accepted logins with at least ``least`` refused ones of the same ``by`` in the time before."""
-    slots = F.window(F.col(time).cast("timestamp"), within)
-    marked = events.withColumn("__ok", F.coalesce(accepted, F.lit(False))).withColumn("__bad", F.coalesce(failed, F.lit(False)))
-    bad = marked.filter("__bad").groupBy(*by, slots.getField("start").alias("__slot")).agg(F.sort_array(F.collect_list(F.unix_micros(F.col(time).cast("timestamp")))).alias("__times"))
-    width = F.expr(f"INTERVAL {within}")
-    ok = marked.filter("__ok").withColumn("__now", F.unix_micros(F.col(time).cast("timestamp"))).withColumn("__slot", slots.getField("start"))
-    here = bad.withColumnRenamed("__times", "__a")
-    earlier = bad.withColumn("__slot", F.col("__slot") + width).withColumnRenamed("__times", "__b")
-    joined = ok.join(here, [*by, "__slot"], "left").join(earlier, [*by, "__slot"], "left")
-    back = F.unix_micros(F.timestamp_micros("__now") - width)
-    times = F.concat(F.coalesce("__b", F.array().cast("array<bigint>")), F.coalesce("__a", F.array().cast("array<bigint>")))
-    n = F.size(F.filter(times, lambda t: (t < F.col("__now")) & (t >= back)))
-    return joined.withColumn("n_refused", n).filter(F.col("n_refused") >= least).drop("__ok", "__bad", "__now", "__slot", "__a", "__b")
+def success_after_failures(events: DataFrame, failed: Column, accepted: Column, by: list[str], time: str = "_time", within: str = "1 hour", least: int = 3, id_col: str = "_id") -> DataFrame:
+    """Accepted logins with at least ``least`` refused ones of the same ``by`` in the
+    time before (``n_refused``); ``id_col`` tells events apart, null ``by`` are left out.
+
+    Refused ones are counted up in slots of ``within``; an accepted one is looked up
+    where it is and that long before, so a slot's events are read in order once and
+    no list of them is kept.
+    """
+    width = F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"INTERVAL {within}"))
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    known = events.filter(F.col(time).isNotNull())
+    for k in by:
+        known = known.filter(F.col(k).isNotNull())
+    slot = lambda c: F.floor(c / width).cast("bigint").alias("__slot")
+    mark = lambda rows, c, kind: rows.select(*by, F.col(id_col).alias("__id"), c.alias("__at"), slot(c), F.lit(kind).alias("__kind"))
+    bad, good = known.filter(F.coalesce(failed, F.lit(False))), known.filter(F.coalesce(accepted, F.lit(False)))
+    marks = mark(bad, at, 0).unionByName(mark(good, at, 1)).unionByName(mark(good, at - width, 2))
+    group = Window.partitionBy(*by, "__slot")
+    is_bad = (F.col("__kind") == 0).cast("bigint")
+    earlier = F.coalesce(F.sum(is_bad).over(group.orderBy("__at").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = marks.withColumn("__before", earlier).withColumn("__all", F.sum(is_bad).over(group)).filter("__kind > 0")
+    n = F.sum(F.when(F.col("__kind") == 1, F.col("__before")).otherwise(F.col("__all") - F.col("__before")))
+    enough = counted.groupBy("__id").agg(n.cast("int").alias("n_refused")).filter(F.col("n_refused") >= least)
+    return good.join(enough, good[id_col] == enough["__id"]).drop("__id")
+
+
+def with_identities(events: DataFrame, identities: DataFrame, user: str = "user", columns: tuple[str, ...] = ("full_name", "department", "priority", "risk_score")) -> DataFrame:
+    """``events`` with what is known of their user, by name or mail address, letter case
+    and outer blanks disregarded; of several identities that with the least username."""
+    named = identities.select("*", F.explode(F.array_distinct(F.array(indicator_key(F.col("username")), indicator_key(F.col("email"))))).alias("__u")).filter("__u is not null")
+    one = named.groupBy("__u").agg(F.min_by(F.struct(*[F.col(c).alias(f"identity_{c}" if c in events.columns else c) for c in columns]), F.coalesce("username", F.lit(""))).alias("__i"))
+    return events.withColumn("__u", indicator_key(F.col(user))).join(small(one), "__u", "left").select("*", "__i.*").drop("__u", "__i")

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import threading
+import time
 import uuid
 from collections import Counter
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tailrace.detect.rules import Rule
+from tailrace.io import hadoop
 
 STATUSES = ("new", "in_progress", "resolved", "closed")
 OPEN = ("new", "in_progress")
@@ -103,3 +105,53 @@ def throttled(rows: DataFrame, window: str = "1 hour") -> DataFrame:
     """The first finding of each rule and host within each window of time."""
     w = Window.partitionBy("rule_id", "host", F.window(F.col("created_at").cast("timestamp"), window)).orderBy("created_at", "row_id")
     return rows.filter("created_at is not null").withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+
+
+def contributing(rows: DataFrame) -> DataFrame:
+    """(row_id, event_no, key, value): the events that findings rest on, field by field."""
+    events = rows.select("row_id", F.posexplode("contributing_events").alias("event_no", "event"))
+    return events.select("row_id", "event_no", F.explode("event").alias("key", "value"))
+
+
+class NotableTable:
+    """Findings as a table below ``path``: each stored state is a row, the newest of an
+    id counts.  States are only added, so nothing is lost by a restart."""
+
+    SCHEMA = (
+        "row_id bigint, id string, rule_id string, rule_name string, severity string, title string, description string, mitre array<string>, risk_score int, status string, "
+        "source string, host string, contributing_events array<map<string,string>>, created_at timestamp, updated_at timestamp"
+    )
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def states(self) -> DataFrame:
+        at, fs = hadoop(self.spark, self.path)
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path) if fs.exists(at) else self.spark.createDataFrame([], self.SCHEMA)
+
+    def current(self) -> DataFrame:
+        return latest_states(self.states())
+
+    def _store(self, rows: DataFrame) -> None:
+        # rows of later calls have greater ids
+        now = time.time_ns() // 1000
+        rows.withColumn("row_id", F.lit(now) * 1000 + F.monotonically_increasing_id() % 1000).select(*[c.split()[0] for c in self.SCHEMA.split(", ")]).coalesce(1).write.mode("append").parquet(self.path)
+
+    def add(self, findings: list[dict]) -> None:
+        """Stores findings as :func:`notable` makes them, up to 1000 in a call."""
+        if not 0 < len(findings) <= 1000:
+            raise ValueError("from 1 to 1000 findings in a call")
+        schema = self.SCHEMA.split(", ", 1)[1]
+        self._store(self.spark.createDataFrame([tuple(n[c.split()[0]] for c in schema.split(", ")) for n in findings], schema))
+
+    def update_status(self, id: str, status: str) -> bool:
+        """Stores the finding anew with another status; False if there is none of that id."""
+        if status not in STATUSES:
+            raise ValueError(f"status must be one of {', '.join(STATUSES)}")
+        found = self.current().filter(F.col("id") == id)
+        rows = found.limit(1).collect()
+        if not rows:
+            return False
+        row = rows[0].asDict() | {"status": status, "updated_at": datetime.now(timezone.utc)}
+        self.add([row])
+        return True

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 DELIMITERS = "=,;:\"'[](){}<>"
 _SPLIT = r"[\s" + re.escape(DELIMITERS) + r"]"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: The same folding for Python texts.
+FOLD = str.maketrans(_UPPER, _UPPER.lower())
 
 
 def ascii_lower(text: Column) -> Column:

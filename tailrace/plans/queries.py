@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 
 from tailrace import written_sql
 from tailrace.detect import enrich, notables
+from tailrace.api import Engine
+from tailrace.detect.conditions import met
 from tailrace.detect.engine import single_scan
 from tailrace.detect.rules import BUILTIN, Rule
 from tailrace.functions.syslog import FACILITIES, SEVERITIES, has_envelope, syslog_fields
 from tailrace.functions.text import bytes_text, tokens
 from tailrace.functions.instants import micros_of_number
-from tailrace.io import host_key, scratch, table
+from tailrace.io import host_key, saved, scratch, table
 from tailrace.operators.instants import normalise_written_times
 from tailrace.operators.panes import PaneSpec
 from tailrace.plans.catalog import Catalog
 from tailrace.plans.compile import Compiler, filled, wide
 from tailrace.queries import SQL as core_sql
+from tailrace.sources.normalise import normalise
 from tailrace.sources.lines import break_lines, sourcetype_of
 from tailrace.sources.postings import Postings
 from tailrace.streaming.panes import PaneStore, start
@@ -332,6 +335,46 @@ def _stream_panes(spark, d):
     return store.current().select("index_name", F.col("window_us").alias("period_us"), "n")
 
 
+def _line_breaks_multi(spark, d):
+    return break_lines(table(spark, d, "documents").select("doc_id", "text"), "multi", "text").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_events"))
+
+
+def _line_breaks_auto(spark, d):
+    return break_lines(table(spark, d, "documents").select("doc_id", "text"), "auto", "text").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_events"))
+
+
+def _line_breaks_json(spark, d):
+    """Members of all findings' events as arrays of objects, broken again."""
+    arrays = table(spark, d, "notable").select("row_id", F.to_json("contributing_events").alias("value"))
+    return break_lines(arrays, "json").groupBy("row_id").agg(F.count(F.lit(1)).alias("n_events"))
+
+
+def _notable_events(spark, d):
+    return notables.contributing(table(spark, d, "notable")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("n_values"), F.countDistinct("row_id").alias("n_rows"))
+
+
+# The same rules under each kind of condition.
+CONDITIONS = ({"count_gt": 100}, {"count_ge": 1}, {"count_gt": 1_000_000_000}, {})
+
+
+def _rules_fired(spark, d):
+    """(rule_id, condition_no, fired) of every rule over the wire events under every condition."""
+    c = catalog(spark, d)
+    got = []
+    for rule in WIRE_RULES:
+        result = saved(Compiler(c).compile(rule.query), "rule")
+        got += [(rule.id, k, met(result, condition)) for k, condition in enumerate(CONDITIONS)]
+    return spark.createDataFrame(got, "rule_id string, condition_no int, fired boolean")
+
+
+def _ingest_search(spark, d):
+    """All ingest rows normalised, stored, found again by the engine and counted."""
+    rows = table(spark, d, "ingest_event").select("raw", "host", "source", "sourcetype", F.col("index_name").alias("index"), "timestamp_us")
+    engine = Engine(spark, scratch(spark, "store"))
+    engine.store.append(normalise(rows))
+    return engine.dataframe("search index=* | stats count by index, sourcetype")
+
+
 def _host_names(spark, d):
     return table(spark, d, "wire_event").groupBy(host_key(F.col("host")).alias("host")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -371,6 +414,34 @@ FROM (SELECT lower(list_last(string_split(source, '/'))) AS n FROM wire_event WH
 r AS (SELECT unnest(generate_series(min(b), max(b), INTERVAL 10 MINUTE)) AS b FROM c) SELECT strftime(r.b, '%Y-%m-%d %H:%M:%S') AS bucket, coalesce(n, 0) AS count FROM r LEFT JOIN c USING (b)""",
     ),
     "line_breaks": (_line_breaks, "SELECT doc_id, count(*) AS n_lines FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\\r?\\n')) AS l FROM documents WHERE text IS NOT NULL) WHERE trim(l) <> '' GROUP BY 1"),
+    "line_breaks_multi": (
+        _line_breaks_multi,
+        r"""WITH l AS (SELECT doc_id, x, generate_subscripts(x, 1) AS k FROM (SELECT doc_id, regexp_split_to_array(text, '\r?\n') AS x FROM documents WHERE text IS NOT NULL)),
+g AS (SELECT doc_id, k, x[k] AS line, sum(CASE WHEN k = 1 OR NOT regexp_matches(x[k], '^[ \t]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM l),
+v AS (SELECT doc_id, e, string_agg(line, chr(10) ORDER BY k) AS event FROM g GROUP BY 1, 2) SELECT doc_id, count(*) AS n_events FROM v WHERE trim(event) <> '' GROUP BY 1""",
+    ),
+    "line_breaks_auto": (
+        _line_breaks_auto,
+        r"""WITH t AS (SELECT doc_id, regexp_matches(text, '\n[ \t]+\S') AS multi, regexp_split_to_array(text, '\r?\n') AS x FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, multi, x, generate_subscripts(x, 1) AS k FROM t),
+g AS (SELECT doc_id, k, x[k] AS line, sum(CASE WHEN k = 1 OR NOT multi OR NOT regexp_matches(x[k], '^[ \t]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM l),
+v AS (SELECT doc_id, e, string_agg(line, chr(10) ORDER BY k) AS event FROM g GROUP BY 1, 2) SELECT doc_id, count(*) AS n_events FROM v WHERE trim(event) <> '' GROUP BY 1""",
+    ),
+    "line_breaks_json": (_line_breaks_json, "SELECT row_id, CAST(len(contributing_events) AS BIGINT) AS n_events FROM notable WHERE len(contributing_events) > 0"),
+    "notable_events": (
+        _notable_events,
+        """WITH e AS (SELECT row_id, unnest(contributing_events) AS e FROM notable), m AS (SELECT row_id, unnest(map_entries(e)) AS m FROM e)
+SELECT m.key AS key, count(*) AS n, count(DISTINCT m.value) AS n_values, count(DISTINCT row_id) AS n_rows FROM m GROUP BY 1""",
+    ),
+    "rules_fired": (
+        _rules_fired,
+        f"""WITH w AS (SELECT host, lower(raw) AS r, {_TOKENS.replace('text', 'raw')} AS t FROM wire_event WHERE raw IS NOT NULL), c AS (SELECT host,
+count(*) FILTER (r LIKE '%login refused%') AS refused, count(*) FILTER (r LIKE '%was denied%') AS denied, count(*) FILTER (list_contains(t, 'dropped') AND list_contains(t, 'packet')) AS dropped,
+count(*) FILTER (list_contains(t, 'took') OR r LIKE '%no answer%') AS slow, count(*) FILTER (list_contains(t, 'scan') AND NOT list_contains(t, 'ports')) AS scan FROM w GROUP BY 1),
+n AS (SELECT name, count(*) FILTER (n > 0) AS hosts, max(n) AS top FROM (UNPIVOT c ON refused, denied, dropped, slow, scan INTO NAME name VALUE n) GROUP BY 1)
+SELECT name AS rule_id, CAST(k AS INTEGER) AS condition_no, CASE k WHEN 0 THEN greatest(hosts, top) > 100 WHEN 1 THEN greatest(hosts, top) >= 1 WHEN 2 THEN greatest(hosts, top) > 1000000000 ELSE hosts > 0 END AS fired FROM n, (VALUES (0), (1), (2), (3)) AS v(k)""",
+    ),
+    "ingest_search": (_ingest_search, "SELECT coalesce(nullif(index_name, ''), 'main') AS index, coalesce(nullif(sourcetype, ''), 'json') AS sourcetype, count(*) AS count FROM ingest_event GROUP BY 1, 2"),
     "postings_search": (_postings_search, f"SELECT doc_id AS _id FROM documents WHERE list_contains({_TOKENS}, 'journal') AND list_contains({_TOKENS}, 'queue')"),
     "stream_panes": (_stream_panes, "SELECT index_name, period_us, n FROM (" + core_sql["p1_hourly_counts"] + ") WHERE n > 0"),
     "host_names": (_host_names, f"SELECT {_HOST.format('host')} AS host, count(*) AS n FROM wire_event GROUP BY 1"),

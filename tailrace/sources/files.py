@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tailrace.sources.lines import sourcetype_of
+from tailrace.sources.tail import tail
 
 ASSET = "asset_id string, ip string, hostname string, mac string, os string, criticality string, business_unit string, location string, time_zone string"
 IDENTITY = "username string, email string, full_name string, department string, manager string, priority string, risk_score double"
@@ -36,11 +37,17 @@ def read_logs(spark: SparkSession, path: str, index: str = "main", host: str = "
 
 def tail_logs(spark: SparkSession, path: str, index: str = "main", host: str = "unknown", allow: str | None = None, deny: str | None = None, max_files: int = 1000) -> DataFrame:
     """As :func:`read_logs`, as a stream of new files.  A file is read once, when it
-    appears; lines appended later to a file already read aren't seen."""
+    appears; for lines added to files see :func:`follow_logs`."""
     stream = spark.readStream.option("recursiveFileLookup", True).option("maxFilesPerTrigger", max_files).text(path)
     return _as_input(_chosen(stream, allow, deny), index, host)
 
 
+def follow_logs(spark: SparkSession, path: str, index: str = "main", host: str = "unknown", allow: str | None = None, deny: str | None = None) -> DataFrame:
+    """As :func:`read_logs`, as a stream of the lines added to the files."""
+    options = {k: v for k, v in (("allow", allow), ("deny", deny)) if v}
+    return _as_input(tail(spark, path, **options), index, host)
+
+
 def import_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A table of assets, identities or indicators from CSV with a header; malformed
     values become null."""

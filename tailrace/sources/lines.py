@@ -39,6 +39,7 @@ def break_lines(data: DataFrame, mode: str = "auto", column: str = "value", patt
 def sourcetype_of(path: Column) -> Column:
     """The sourcetype a file name suggests."""
     name = F.lower(F.substring_index(path, "/", -1))
+    # Patterns of file names and their sourcetypes.
     return (
         F.when(name.rlike(r"auth\.log|^secure"), "linux_secure")
         .when(name.rlike(r"syslog|^messages"), "syslog")

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailrace.functions.text import tokens
+from tailrace.functions.text import FOLD, tokens
 
 
 class Postings:
@@ -29,8 +29,9 @@ class Postings:
         return self.spark.read.parquet(self.path)
 
     def ids(self, terms: list[str], every: bool = True) -> DataFrame:
-        """(event_id) of the events that hold all (or any) of the terms."""
-        low = list(dict.fromkeys(t.lower() for t in terms))
+        """(event_id) of the events that hold all (or any) of the terms; as in the index
+        only A-Z are taken in any case."""
+        low = list(dict.fromkeys(t.translate(FOLD) for t in terms))
         hits = self.read().filter(F.col("term").isin(low)).groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
         return hits.filter(F.col("n") == len(low) if every else F.col("n") >= 1).select("event_id")
 

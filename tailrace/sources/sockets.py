@@ -1,8 +1,10 @@
 """Syslog over UDP and TCP as a streaming source (``format("syslog_listener")``).
 
 Each micro-batch takes what has arrived on the port; datagrams and lines that
-come while no batch is read wait in the socket's buffer.  Batches are buffered
-until committed, so a failed batch is delivered again.
+come while no batch is read wait in the socket's buffer; ``maxRows`` bounds what
+one batch takes, the rest comes with the next.  Batches are buffered until
+committed, so a failed batch is delivered again.  A line without an end is cut
+at LINE_LIMIT bytes, as lines of that length.
 """
 
 from __future__ import annotations
@@ -62,8 +64,9 @@ class SyslogReader(SimpleDataSourceStreamReader):
                         break
                     *lines, rest = (rest + data).split(b"\n")
                     out += [(x.decode("utf-8", "replace").rstrip("\r"), sender) for x in lines if x.strip()]
-                    if len(rest) > LINE_LIMIT:
-                        rest = b""
+                    while len(rest) > LINE_LIMIT:  # no byte of an endless line is lost
+                        out.append((rest[:LINE_LIMIT].decode("utf-8", "replace"), sender))
+                        rest = rest[LINE_LIMIT:]
             except BlockingIOError:
                 pass
             except OSError:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tailrace.sources.normalise import normalise
+from tailrace.sources.store import EventStore
 
 #: A buffer is written out every so often.
 PERIOD = "5 seconds"
@@ -14,9 +17,11 @@ PERIOD = "5 seconds"
 
 def write_events(events: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Appends a stream of input rows to the store at ``path``, each exactly once: the
-    checkpoint tells which input a batch holds, and the file sink's log which
-    files belong to committed batches."""
-    out = normalise(events).writeStream.format("parquet").partitionBy("index", "date").option("path", path).option("checkpointLocation", checkpoint).option("compression", "zstd").outputMode("append")
+    checkpoint tells which input a batch holds, and the store takes a batch of
+    that name once.  Other writers may append to the same store."""
+    name = "s" + hashlib.sha1(checkpoint.encode()).hexdigest()[:12]
+    store = EventStore(events.sparkSession, path)
+    out = events.writeStream.foreachBatch(lambda df, n: store.append(normalise(df), f"{name}-{n:09d}")).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if once else out.trigger(processingTime=PERIOD)).start()
 
 

@@ -1,3 +1,4 @@
+import logging
 import socket
 import time
 from datetime import datetime
@@ -11,6 +12,7 @@ from tailrace.sources import files, sockets
 from tailrace.sources.lines import break_lines, sourcetype_of
 from tailrace.sources.normalise import batch, from_syslog, normalise
 from tailrace.sources.store import EventStore
+from tailrace.streaming.ingest import write_events
 
 
 @pytest.mark.parametrize(
@@ -105,6 +107,95 @@ def test_store_life_cycle(spark, tmp_path):
     assert s.drop_index("b") and s.indexes() == ["a"]
 
 
+def stored(spark, *raws, index="a"):
+    return normalise(batch(spark, [{"raw": f"2024-01-01T00:00:0{k}Z {r}", "index": index} for k, r in enumerate(raws)]))
+
+
+def test_rows_appended_during_a_compaction_stay(spark, tmp_path, monkeypatch):
+    s = EventStore(spark, str(tmp_path / "s"))
+    for r in "abc":
+        s.append(stored(spark, r))
+    put = s._put
+
+    def meanwhile(path, content):
+        s.append(stored(spark, "late"))
+        put(path, content)
+
+    monkeypatch.setattr(s, "_put", meanwhile)
+    assert len(s.compact()) == 1
+    assert sorted(r._raw[-1] for r in s.read("a").collect()) == ["a", "b", "c", "e"]
+
+
+def test_a_failed_move_loses_nothing_and_is_finished_later(spark, tmp_path, monkeypatch):
+    s = EventStore(spark, str(tmp_path / "s"))
+    for r in "abc":
+        s.append(stored(spark, r))
+    move = s._move
+
+    def fails(moves):
+        raise OSError("no")
+
+    monkeypatch.setattr(s, "_move", fails)
+    with pytest.raises(OSError):
+        s.compact()
+    assert s.read().count() == 3
+    monkeypatch.setattr(s, "_move", move)
+    assert s.recover() == 1 and s.read().count() == 3 and s.statistics().first().segment_count == 1
+    assert s.recover() == 0 and s.compact() == []
+
+
+def test_a_named_batch_is_added_once(spark, tmp_path, monkeypatch):
+    s = EventStore(spark, str(tmp_path / "s"))
+    move, times = s._move, []
+
+    def halfway(moves):
+        if not times:
+            times.append(1)
+            move(moves[:1])
+            raise OSError("no")
+        move(moves)
+
+    monkeypatch.setattr(s, "_move", halfway)
+    events = stored(spark, "x").unionByName(stored(spark, "y", index="b"))
+    with pytest.raises(OSError):
+        s.append(events, "n-1")
+    for _ in range(2):
+        s.append(events, "n-1")
+    s.append(stored(spark, "z"), "n-2")
+    assert sorted(r._raw[-1] for r in s.read().collect()) == ["x", "y", "z"]
+
+
+def test_added_lines_are_followed(spark, tmp_path):
+    log, other, out = tmp_path / "in" / "a.log", tmp_path / "in" / "b.gz", str(tmp_path / "s")
+    log.parent.mkdir()
+    other.write_text("no")
+    log.write_bytes(b"2024-01-01T00:00:00Z one\n\nhalf")
+
+    def run():
+        write_events(files.follow_logs(spark, str(log.parent), deny="gz$"), out, str(tmp_path / "cp"), once=True).awaitTermination()
+        return sorted(r._raw[-5:] for r in EventStore(spark, out).read().collect())
+
+    assert run() == ["Z one"]
+    with log.open("ab") as f:
+        f.write("-line é\n2024-01-01T00:00:01Z two\nx".encode())
+    assert run() == ["Z one", "Z two", "ine é"]
+    assert run() == ["Z one", "Z two", "ine é"]
+    log.write_bytes(b"fresh start\n")  # shorter than before
+    assert run() == ["Z one", "Z two", "ine é", "start"]
+
+
+def test_pieces_hold_each_line_once(tmp_path):
+    from tailrace.sources.tail import TailReader
+
+    log = tmp_path / "a.log"
+    lines = [f"line {k} " + "é" * (k % 7) for k in range(50)]
+    log.write_text("\n".join(lines) + "\nrest")
+    for piece in (1, 5, 64, 10_000):
+        r = TailReader({"path": str(log), "pieceBytes": str(piece)})
+        got = [x[0] for p in r.partitions({}, r.latestOffset()) for x in r.read(p)]
+        assert got == lines
+
+
 def test_imports(spark, tmp_path):
     (tmp_path / "i.csv").write_text("ioc_type,ioc_value,source,confidence,severity,tlp,first_seen,last_seen\nip,1.2.3.4,,x,low,white,2024-01-01T00:00:00Z,\n")
     r = files.import_feed(spark, str(tmp_path / "i.csv"), "csv", "feed").first()
@@ -164,6 +255,10 @@ def test_postings(spark, tmp_path):
     assert [r[0] for r in p.search(ev, ["failed", "LOGIN"]).select("_id").collect()] == [1]
     assert sorted(r[0] for r in p.ids(["attempt", "database", "nothing"], every=False).collect()) == [1, 3]
     assert tuple(p.statistics().first()) == (9, 13)
+    accents = spark.createDataFrame([(1, "École ouverte"), (2, "école FERMÉE")], "_id long, _raw string")
+    q = Postings(spark, str(tmp_path / "q"))
+    q.build(accents)
+    assert [r[0] for r in q.ids(["École"]).collect()] == [1] and [r[0] for r in q.ids(["FERMÉE", "école"]).collect()] == [2]
     assert Postings.union([p.read(), p.read()]).count() == 13
 
 
@@ -173,6 +268,15 @@ def test_config(tmp_path, spark):
     (tmp_path / "c.json").write_text('{"data_dir": "/x", "shuffle_partitions": 4}')
     assert Config.load(tmp_path / "c.json").data_dir == "/x"
     Config.load(tmp_path / "c.json").apply(spark)
+    c = Config(data_dir=str(tmp_path / "d"), compression_level=7, segment_size_mb=1, log_file=str(tmp_path / "x.log"), log_level="warning", detection_period=3.0)
+    store = c.store(spark)
+    assert store.target_bytes == 1 << 20 and store.options["parquet.compression.codec.zstd.level"] == "7"
+    assert c.syslog_options("tcp") == {"protocol": "tcp", "host": "0.0.0.0", "port": "5514"}
+    handler = c.start_log(most_bytes=200, kept=1)
+    for k in range(10):
+        logging.getLogger("tailrace.any").warning("line %s", k)
+    logging.getLogger("tailrace").removeHandler(handler)
+    assert "line 9" in (tmp_path / "x.log").read_text() and (tmp_path / "x.log.1").exists() and Config().start_log() is None
     (tmp_path / "c.json").write_text('{"odd": 1}')
     with pytest.raises(ValueError):
         Config.load(tmp_path / "c.json")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tailrace.operators import panes
 from tailrace.sources.files import tail_logs
-from tailrace.sources.normalise import INPUT
+from tailrace.sources.normalise import INPUT, batch, normalise
 from tailrace.sources.store import EventStore
 from tailrace.streaming.ingest import without_repeats, write_events
 from tailrace.streaming.panes import PaneStore, start, watermarked_counts
@@ -27,6 +27,18 @@ def test_stream_into_the_store(spark, tmp_path):
     assert [(r._raw[-3:], r._time) for r in got] == [("one", datetime(2024, 1, 1)), ("two", datetime(2024, 1, 2)), ("ree", datetime(2024, 1, 2, 0, 0, 1))]
 
 
+def test_stream_and_batches_share_a_store(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "store")
+    src.mkdir()
+    (src / "a.log").write_text("2024-01-01T00:00:00Z one\n")
+    write_events(tail_logs(spark, str(src)), out, str(tmp_path / "cp"), once=True).awaitTermination()
+    store = EventStore(spark, out)
+    store.append(normalise(batch(spark, [{"raw": "2024-01-01T00:00:01Z two"}])))
+    (src / "b.log").write_text("2024-01-01T00:00:02Z three\n")
+    write_events(tail_logs(spark, str(src)), out, str(tmp_path / "cp"), once=True).awaitTermination()
+    assert store.read().count() == 3 and len(store.compact()) == 1 and store.read("main").count() == 3
+
+
 def test_panes_over_a_stream_equal_the_batch(spark, tmp_path, rows):
     spec = panes.PaneSpec(size_us=2 * HOUR, slide_us=HOUR)
     data = [(k, T0 + (k % 7 + k % 3 * 6) * HOUR, T0 + k % 7 * HOUR + k, "a" if k % 2 else "b") for k in range(60)]
