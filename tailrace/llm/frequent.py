@@ -9,6 +9,7 @@ of pass 1 and, in pass 2, by the survivors.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -16,13 +17,20 @@ from pyspark.sql import functions as F
 
 from tailrace.io import saved
 
-#: Hashes, and buckets of each.
+#: Hashes, and buckets of each at least.
 HASHES = 3
 BUCKETS = 1 << 14
+#: Buckets for each value that can be frequent: so many that most are light.
+SPARE = 16
 
 
-def _bucket(field: Column, item: Column, k: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(k), field, item), F.lit(BUCKETS)).cast("int")
+def n_buckets(share: float) -> int:
+    """Buckets of a hash: at most 1/share of them can be heavy, so their number follows the share."""
+    return max(BUCKETS, 1 << math.ceil(math.log2(SPARE / share)))
+
+
+def _bucket(field: Column, item: Column, k: int, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(k), field, item), F.lit(buckets)).cast("int")
 
 
 def long_form(rows: DataFrame, fields: Sequence[tuple[str, Column]]) -> DataFrame:
@@ -31,13 +39,14 @@ def long_form(rows: DataFrame, fields: Sequence[tuple[str, Column]]) -> DataFram
     return rows.select(F.explode(pairs).alias("p")).select("p.field_name", "p.item").filter(F.col("item") != "")
 
 
-def bucket_counts(items: DataFrame) -> DataFrame:
+def bucket_counts(items: DataFrame, share: float = 0.01) -> DataFrame:
     """(field_name, hash_no, bucket, n): exact counts of coarse buckets.
 
-    The counts of a task are summed before the shuffle: at most HASHES * BUCKETS
+    The counts of a task are summed before the shuffle: at most HASHES * n_buckets
     rows a field leave it, whatever the values are.
     """
-    spread = F.array(*[F.struct(F.lit(k).alias("hash_no"), _bucket(F.col("field_name"), F.col("item"), k).alias("bucket")) for k in range(HASHES)])
+    buckets = n_buckets(share)
+    spread = F.array(*[F.struct(F.lit(k).alias("hash_no"), _bucket(F.col("field_name"), F.col("item"), k, buckets).alias("bucket")) for k in range(HASHES)])
     return items.select("field_name", F.explode(spread).alias("b")).groupBy("field_name", "b.hash_no", "b.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -61,7 +70,7 @@ def frequent(items: DataFrame, buckets: DataFrame, share: float = 0.01, least: i
     """(field_name, item, n, total): values that make up at least ``share`` of their
     field and occur at least ``least`` times, with exact counts.
 
-    ``items`` is read once more; values with a light bucket under any hash are
+    ``buckets`` must be counted for the same ``share``.  ``items`` is read once more; values with a light bucket under any hash are
     dropped where they are read.  Fields without values have no rows.
     """
     limits = thresholds(buckets, share, least)
@@ -69,7 +78,7 @@ def frequent(items: DataFrame, buckets: DataFrame, share: float = 0.01, least: i
     left = items
     for k in range(HASHES):
         of_k = F.broadcast(heavy.filter(F.col("hash_no") == k).select("field_name", F.col("bucket").alias("__b")))
-        left = left.withColumn("__b", _bucket(F.col("field_name"), F.col("item"), k)).join(of_k, ["field_name", "__b"], "left_semi").drop("__b")
+        left = left.withColumn("__b", _bucket(F.col("field_name"), F.col("item"), k, n_buckets(share))).join(of_k, ["field_name", "__b"], "left_semi").drop("__b")
     return left.groupBy("field_name", "item").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(limits), "field_name").filter("n >= threshold").select("field_name", "item", "n", "total")
 
 
@@ -87,7 +96,7 @@ def ioc_items(ioc: DataFrame) -> DataFrame:
 
 def top_values(wire: DataFrame, ioc: DataFrame, share: float = 0.01, least: int = 5) -> DataFrame:
     items = wire_items(wire).unionByName(ioc_items(ioc))
-    return frequent(items, saved(bucket_counts(items), "buckets"), share, least)
+    return frequent(items, saved(bucket_counts(items, share), "buckets"), share, least)
 
 
 def found(wire: DataFrame, ioc: DataFrame) -> DataFrame:
