@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailrace.io import Commits, hadoop, scratch, small
+from tailrace.io import Commits, hadoop, scratch
 
 #: Keys of numbered feeds in one leaf; children of one inner node; levels above the leaves.
 LEAF_WIDTH = 64
@@ -74,12 +74,14 @@ def descend(now: Levels, was: Levels) -> DataFrame:
     """
     todo = None
     for level in range(LEVELS, -1, -1):
-        a, b = (t(level).select("feed", "leaf", "n", "digest") for t in (now, was))
+        a, b = (t(level).select("feed", "leaf", "n", "digest", F.lit(mine).alias("mine")) for t, mine in ((now, True), (was, False)))
+        both = a.unionByName(b)
         if todo is not None:
-            a, b = (t.withColumn("up", _up("leaf")).join(todo, ["feed", "up"], "left_semi").drop("up") for t in (a, b))
-        b = b.withColumnsRenamed({"n": "had", "digest": "was"})
-        differ = a.join(b, ["feed", "leaf"], "full").filter(~(F.col("digest").eqNullSafe(F.col("was")) & F.col("n").eqNullSafe(F.col("had"))))
-        todo = differ.select("feed", F.col("leaf").alias("up"))
+            both = both.withColumn("up", _up("leaf")).join(todo, ["feed", "up"], "left_semi")
+        of = lambda c, mine: F.max(F.when(F.col("mine") == mine, F.col(c)))
+        paired = both.groupBy("feed", "leaf").agg(*[of(c, m).alias(f"{c}_{m}") for c in ("n", "digest") for m in (True, False)])
+        same = F.col("n_True").eqNullSafe(F.col("n_False")) & F.col("digest_True").eqNullSafe(F.col("digest_False"))
+        todo = paired.filter(~same).select("feed", F.col("leaf").alias("up"))
     return todo.select("feed", F.col("up").alias("leaf"))
 
 
@@ -270,7 +272,7 @@ def found(wal: DataFrame, notable: DataFrame, run_log: DataFrame, path: str | No
     rows = feed_records(wal, notable)
     state = MerkleState(spark, path or scratch(spark, "merkle"))
     if state.version() is None:
-        marks = small(feed_marks(run_log))
+        marks = feed_marks(run_log)
         # a record without a time is not past any mark
         seen = rows.join(marks, "feed").filter(~F.coalesce(F.col("at") > F.col("mark"), F.lit(False))).drop("mark")
         state.seed(seen)
