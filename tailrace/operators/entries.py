@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tailrace.functions.loglines import parse_line
-from tailrace.io import host_key, saved
+from tailrace.io import host_key, saved, small
 
 #: Rows of one batch, host and source are ordered in blocks of so many positions.
 BLOCK = 100_000
 
 _PARSE = "begins boolean, time_text string, lvl string, component string, message string, unparsed string, score double"
-_GROUP = ["b", "h", "s", "solo"]
+_GROUP = ["b", "h", "s", "solo", "deep"]
 
 
 def _parsed(df: DataFrame, raw: str) -> DataFrame:
@@ -49,20 +49,23 @@ def _segments(wire: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Runs of rows of one entry within a block: (batch, host, source, solo, block, entry,
     first/last position and delivery, lvl, component, bare).  ``entry`` is null for
     rows that go on with an entry of an earlier block, or with none.  Rows without a
-    batch or a place in it are ``solo``, each a group of its own.
+    batch or a place in it are ``solo``, each a group of its own.  ``deep``: the
+    batch has several blocks; there is at most one such batch for BLOCK places.
 
     With ``keep`` also these columns, time_text, message and unparsed of the first row, and
     ``texts`` (pos, delivery_id, text) of the rows that begin nothing."""
     full = keep is not None
     keep = keep or []
     placed = F.col("batch_id").isNotNull() & F.col("batch_pos").isNotNull()
-    lines = wire.filter(F.trim(F.regexp_replace("raw", r"\s+", " ")) != "").select(
+    several = small(wire.filter(F.col("batch_pos") >= BLOCK).select(F.col("batch_id").alias("__deep")).distinct())
+    lines = wire.join(several, F.col("batch_id") == F.col("__deep"), "left").filter(F.trim(F.regexp_replace("raw", r"\s+", " ")) != "").select(
         "delivery_id",
         F.when(placed, F.col("batch_id")).otherwise(-1).alias("b"),
         F.when(placed, F.col("batch_pos")).otherwise(0).alias("pos"),
         F.coalesce(F.concat(F.lit("="), host_key(F.col("host"))), F.lit("")).alias("h"),
         F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("s"),
         F.when(~placed, F.col("delivery_id")).otherwise(-1).alias("solo"),
+        (placed & F.col("__deep").isNotNull()).alias("deep"),
         F.col("fields").isNull().alias("bare"),
         *[F.col(c).alias(f"keep_{c}") for c in keep],
         "raw",
@@ -111,12 +114,13 @@ def assemble(wire: DataFrame) -> DataFrame:
     group as a whole.
     """
     segments = saved(_segments(wire), "segments")
+    begun, deep = segments.filter("entry is not null"), segments.filter("deep")
+    whole = lambda df, last: df.select(F.col("entry").alias("first_delivery_id"), last.getField("delivery_id").alias("last_delivery_id"), "lvl", "component", "bare")
     # only blocks after the first can go on with an earlier one
-    orphans = segments.filter("entry is null and block > 0").select(*_GROUP, "block", "last")
-    carried = orphans.join(_opened(segments), [*_GROUP, "block"]).groupBy(F.col("open").alias("entry")).agg(F.max("last").alias("more"))
-    return segments.filter("entry is not null").join(carried, "entry", "left").select(
-        F.col("entry").alias("first_delivery_id"), F.greatest(F.col("last"), F.coalesce("more", "last")).getField("delivery_id").alias("last_delivery_id"), "lvl", "component", "bare"
-    )
+    orphans = deep.filter("entry is null and block > 0").select(*_GROUP, "block", "last")
+    carried = orphans.join(_opened(deep), [*_GROUP, "block"]).groupBy(F.col("open").alias("entry")).agg(F.max("last").alias("more"))
+    longer = begun.filter("deep").join(carried, "entry", "left")
+    return whole(begun.filter("not deep"), F.col("last")).unionByName(whole(longer, F.greatest(F.col("last"), F.coalesce("more", "last"))))
 
 
 def records(wire: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -131,12 +135,14 @@ def records(wire: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """
     keep = keep or []
     segments = saved(_segments(wire, keep), "records")
-    begun = segments.filter("entry is not null")
+    begun, deep = segments.filter("entry is not null"), segments.filter("deep")
     # what a block begins with goes on with the last entry of the nearest block before it
-    loose = segments.filter("entry is null").select(*_GROUP, "block", "texts").join(_opened(segments), [*_GROUP, "block"], "left")
-    carried = loose.filter("open is not null").groupBy(F.col("open").alias("entry")).agg(F.flatten(F.collect_list("texts")).alias("carried"))
+    opened = deep.filter("entry is null").select(*_GROUP, "block", "texts").join(_opened(deep), [*_GROUP, "block"], "left")
+    loose = segments.filter("entry is null and not deep").select("texts", F.lit(None).cast("bigint").alias("open")).unionByName(opened.select("texts", "open"))
+    carried = opened.filter("open is not null").groupBy(F.col("open").alias("entry")).agg(F.flatten(F.collect_list("texts")).alias("carried"))
     texts = F.array_sort(F.concat("texts", F.coalesce("carried", F.array().cast(loose.schema["texts"].dataType))))
-    whole = begun.join(carried, "entry", "left").withColumn("texts", texts)
+    longer = begun.filter("deep").join(carried, "entry", "left").withColumn("texts", texts).drop("carried")
+    whole = begun.filter("not deep").withColumn("texts", F.array_sort("texts")).unionByName(longer)
     several = F.size("texts") > 0
     entries = whole.select(
         F.col("entry").alias("delivery_id"),
