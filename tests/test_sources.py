@@ -196,6 +196,33 @@ def test_pieces_hold_each_line_once(tmp_path):
         assert got == lines
 
 
+@pytest.mark.parametrize("kind", ["parquet", "orc", "json", "csv"])
+def test_tables_in_other_formats(spark, tmp_path, kind):
+    from tailrace.plans.catalog import Catalog
+    from tailrace.plans.compile import Compiler
+    from tailrace.sources.tables import read_table, write_table
+
+    df = spark.createDataFrame([(1, "disk full", "h1"), (2, "disk ok", "h2"), (3, None, "h2")], "n long, line string, host string")
+    more = {"header": "true"} if kind == "csv" else {}
+    write_table(df, kind, str(tmp_path / "t"), **more)
+    schema = "n long, line string, host string" if kind in ("json", "csv") else None
+    c = Catalog(spark)
+    c.register("t", read_table(spark, kind, str(tmp_path / "t"), schema, **more), id="n", raw="line")
+    got = Compiler(c).compile("search index=t disk | stats count by host").collect()
+    assert sorted((r.host, r["count"]) for r in got) == [("h1", 1), ("h2", 1)]
+
+
+def test_tables_that_cannot_be_read(spark, tmp_path):
+    from tailrace.sources.tables import read_table
+
+    with pytest.raises(ValueError):
+        read_table(spark, "xls", "x")
+    with pytest.raises(ValueError):
+        read_table(spark, "csv", "x")
+    with pytest.raises(RuntimeError):
+        read_table(spark, "kafka", subscribe="t", **{"kafka.bootstrap.servers": "h:1"})
+
+
 def test_imports(spark, tmp_path):
     (tmp_path / "i.csv").write_text("ioc_type,ioc_value,source,confidence,severity,tlp,first_seen,last_seen\nip,1.2.3.4,,x,low,white,2024-01-01T00:00:00Z,\n")
     r = files.import_feed(spark, str(tmp_path / "i.csv"), "csv", "feed").first()
