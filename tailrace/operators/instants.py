@@ -63,6 +63,10 @@ class TimeDictionary:
                 parsed, parts = self._table(parts).unionByName(parsed), []
             new = f"part-{number:012d}-{uuid.uuid4().hex}"
             parsed.write.parquet(f"{self.path}/{new}")
+            if parts and self._table([new]).isEmpty():  # nothing was new
+                at, fs = hadoop(self.spark, f"{self.path}/{new}")
+                fs.delete(at, True)
+                return self._table(parts)
             try:
                 self.commits.publish(number, {"parts": [*parts, new]})
             except Taken:

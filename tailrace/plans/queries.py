@@ -42,8 +42,8 @@ def catalog(spark: SparkSession, d: str) -> Catalog:
         fields=F.create_map(F.lit("k"), k),
     )
     c.register("documents", lambda: t("documents").select("doc_id", "published_at", "text", F.col("source").alias("origin"), "lang", "n_chars", "doc_kind"), time="published_at", id="doc_id", source="origin", sourcetype="doc_kind", raw="text")
-    c.register("main", lambda: t("wire_event").drop("event_time"), time="received_at", id="delivery_id", raw="raw")
-    c.register("notable", lambda: t("notable").drop("contributing_events"), time="created_at", id="row_id", source="source", raw="description", sourcetype=F.lit("notable"))
+    c.register("main", lambda: t("wire_event"), time="received_at", id="delivery_id", raw="raw")
+    c.register("notable", lambda: t("notable"), time="created_at", id="row_id", source="source", raw="description", sourcetype=F.lit("notable"))
     return c
 
 

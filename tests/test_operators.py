@@ -354,6 +354,17 @@ def test_p4_dictionary_grows_by_what_is_new(spark, tmp_path, monkeypatch):
     assert older.groupBy("time_text").count().unionByName(newer.groupBy("time_text").count()).count() == 3
 
 
+def test_p4_a_second_run_parses_nothing(spark, rows, tmp_path):
+    w = wire(spark, [(k, 1, 0, None, None, f"2024-04-06 07:04:5{k % 3},059 x", "h", None, None) for k in range(9)])
+    i = spark.createDataFrame([(1, 0, us(2024, 4, 7), "2024-04-06 07:04:50,059 y", "g")], "ingest_id long, timestamp_us long, received_us long, raw string, host string")
+    assets, d = spark.createDataFrame([], "hostname string, time_zone string"), instants.TimeDictionary(spark, str(tmp_path / "d"))
+    first = rows(instants.found(w, i, assets, d))
+    parts = d.parts()
+    assert len(first) == 10 and len(parts) == 1 and d.read().count() == 3  # the ingest row states a time that wire rows state too
+    assert rows(instants.found(w, i, assets, d)) == first and d.parts() == parts
+    assert rows(instants.found(w, i, assets)) == first
+
+
 # --- problem 5 ---------------------------------------------------------------
 
 

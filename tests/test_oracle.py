@@ -24,9 +24,8 @@ def test_query_equals_its_sql(spark, duck, name):
     same(ALL[name](spark, str(DATA)), duck, SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(ALL) - set(SQL)))
-def test_query_runs(spark, name):
-    assert ALL[name](spark, str(DATA)).count() > 0
+def test_every_query_has_sql():
+    assert set(ALL) == set(SQL)
 
 
 def test_p2_against_brute_force(spark):
